@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, tokencounts, tokenids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash": simhash.op4_simhash,
+        "op5_token_ids": tokenids.op5_token_ids,
+        "op10_token_counts": tokencounts.op10_token_counts,
     }
 
 
