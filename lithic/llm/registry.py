@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, tokencounts, tokenids
+from . import mixing, packing, sharding, simhash, tokencounts, tokenids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": packing.op2_packing,
+        "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
         "op5_token_ids": tokenids.op5_token_ids,
+        "op7_sharding": sharding.op7_sharding,
         "op10_token_counts": tokencounts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": mixing.OP3_SQL,
+        "op7_sharding": sharding.OP7_SQL,
+    }
