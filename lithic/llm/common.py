@@ -153,15 +153,20 @@ def word_table() -> np.ndarray:
     return _STATE["word"]
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every lower-case word, and the index of the text it is in."""
+def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every lower-case word: begin, end, index of its text; and the hash sums."""
     lowered = [t.lower() for t in texts]
     arr, starts = codepoints(lowered)
     is_word = word_table()[np.minimum(arr, 0x10FFFF)]
     edge = np.diff(is_word.view(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = span_hash(prefix_sums(arr), begin, end)
-    return hashes, np.searchsorted(starts, begin, "right") - 1
+    return begin, end, np.searchsorted(starts, begin, "right") - 1, prefix_sums(arr)
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every lower-case word, and the index of the text it is in."""
+    begin, end, where, sums = word_spans(texts)
+    return span_hash(sums, begin, end), where
 
 
 # ----------------------------------------------------- distributed union-find

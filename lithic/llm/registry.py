@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, simhash, tokencounts, tokenids
+from . import linededup, mixing, packing, quality, sharding, simhash, tokencounts, tokenids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op2_packing": packing.op2_packing,
         "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
         "op5_token_ids": tokenids.op5_token_ids,
+        "op6_quality": quality.op6_quality,
         "op7_sharding": sharding.op7_sharding,
         "op10_token_counts": tokencounts.op10_token_counts,
     }
