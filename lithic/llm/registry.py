@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, quality, sharding, simhash, tokencounts, tokenids
+from . import linededup, media, mixing, packing, quality, sharding, simhash, tokencounts, tokenids, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_ids": tokenids.op5_token_ids,
         "op6_quality": quality.op6_quality,
         "op7_sharding": sharding.op7_sharding,
+        "op8_topk": topk.op8_topk,
+        "op9_media": media.op9_media,
         "op10_token_counts": tokencounts.op10_token_counts,
     }
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.OP3_SQL,
         "op7_sharding": sharding.OP7_SQL,
+        "op8_topk": topk.OP8_SQL,
     }
