@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +45,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# -------------------------------------------------------------------- columns
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """These columns of ``df``, by their exact names, whatever the others are called."""
+    places = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[F.col(f"c{k}").alias(n) for k, n in zip(places, names, strict=True)])
+
+
+def shielded(df: DataFrame, names: Iterable[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``change(df)``, which keeps the columns, with all but ``names`` out of its way."""
+    columns = df.columns
+    first = {n: columns.index(n) for n in names if n in columns}
+    inner = df.toDF(*[c if first.get(c) == k else f"extra{k}" for k, c in enumerate(columns)])
+    return change(inner).toDF(*columns)
+
+
 # ------------------------------------------------------------------- row keys
 def with_text_hash(docs: DataFrame, name: str = "__h") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.col("text")))

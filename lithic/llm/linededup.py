@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, codepoints, collapse_repeats, connected_components, documents, materialise, mix64
+from .common import batches_of, codepoints, collapse_repeats, connected_components, documents, materialise, mix64, only, shielded
 
 SHINGLE = 7
 BANDS = 14
@@ -287,7 +287,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     * Lines of any length are taken whole. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    keyed = collapse_repeats(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    keyed = collapse_repeats(only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string")))
     rows = line_groups(keyed)
     return rows.select("doc_id", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no"))
 
@@ -300,6 +300,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     blank ones among them, and other columns stay as they are. Rows that repeat
     doc_id and text stay once.
     """
+    return shielded(docs, ["doc_id", "text", "n_chars"], _dedup)
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
     keyed = collapse_repeats(docs)
     gone = line_groups(keyed.select("doc_id", "__h", "text")).groupBy("doc_id", "__h").agg(F.collect_set("line_no").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"), "__gone")

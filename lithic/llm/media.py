@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents
+from .common import batches_of, documents, only
 
 EBML, SEGMENT, CLUSTER, CUES, TRACKS, INFO = 0x1A45DFA3, 0x18538067, 0x1F43B675, 0x1C53BB6B, 0x1654AE6B, 0x1549A966
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
@@ -345,7 +345,7 @@ def _write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def text_media(docs: DataFrame) -> DataFrame:
     """(doc_id, media): every text as a Matroska file; a NULL text gives NULL."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_write_batches, "doc_id long, media binary")
 
 
@@ -390,7 +390,7 @@ def matroska_packets(files: DataFrame) -> DataFrame:
     * Files of any length are read whole. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media"))
+    rows = only(files, "doc_id", "media").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media"))
     return rows.mapInArrow(_parse_batches, PACKETS)
 
 

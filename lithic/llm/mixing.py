@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import collapse_repeats, documents, materialise
+from .common import collapse_repeats, documents, materialise, only, shielded
 
 #: How often the rarest source's documents may be repeated.
 MAX_REPEATS = 4.0
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, target_entropy: float |
     * Other columns are ignored, whatever their names.
     """
     length = word_count(F.col("text")) if n_tokens is None else n_tokens
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), length.cast("long").alias("n_tokens"))
+    keyed = only(docs, "doc_id", "text", "source").select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), length.cast("long").alias("n_tokens"))
     sized = collapse_repeats(keyed)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sized = sized.select("doc_id", "__h", "source", "n_tokens", key.alias("key"))
@@ -166,7 +166,11 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, target_entropy: float |
 
 def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` draws them, columns as they are."""
-    times = mix(docs.select("doc_id", "text", "source"), **kwargs).groupBy("doc_id", "__h").agg(F.count("*").alias("__times"))
+    return shielded(docs, ["doc_id", "text", "source"], lambda inner: _repeat(inner, kwargs))
+
+
+def _repeat(docs: DataFrame, kwargs: dict) -> DataFrame:
+    times = mix(docs, **kwargs).groupBy("doc_id", "__h").agg(F.count("*").alias("__times"))
     times = times.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"), "__times")
     kept = collapse_repeats(docs).join(times, F.expr("doc_id <=> __id and __h <=> __g"))
     repeated = kept.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))

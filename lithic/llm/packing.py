@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, only
 from .tokens import TOKENIZER, encoder
 
 CAPACITY = 4096
@@ -123,7 +123,7 @@ def pack_windows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     * Equal sizes are taken by doc_id. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return pack_lengths(rows.mapInArrow(_counter(tokenizer), "doc_id long, n_tokens long"), capacity, group)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, codepoints, documents, materialise, span_hash, word_spans
+from .common import batches_of, codepoints, documents, materialise, only, shielded, span_hash, word_spans
 
 #: Labelled documents that the models are fitted to at most, taken by hash.
 SAMPLE = 16384
@@ -307,10 +307,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     Of several labels for a document the worst counts; labels with a NULL are
     left out, as are those without a document with text.
     """
-    each = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id")
+    each = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id")
     each = each.agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
+    texts = only(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
     # the sample is bounded, so it can be sent to every task
     rows = texts.join(F.broadcast(chosen), "doc_id")
     rows = materialise(rows.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))), "quality")
@@ -357,7 +357,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
       labels of both classes a model is the share of its labels.
     * Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = only(docs, "doc_id", "text").select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     return rows.mapInArrow(_scorer(model, ["doc_id", "quality", "toxicity", "keep"]), "doc_id long, quality double, toxicity double, keep boolean")
 
 
@@ -366,11 +366,11 @@ def filter_documents(docs: DataFrame, model: dict) -> DataFrame:
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scored = next(_scorer(model, ["quality", "toxicity", "keep"])(iter([pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])])))
+            scored = next(_scorer(model, ["quality", "toxicity", "keep"])(iter([pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], names=["text"])])))
             yield batch.filter(scored.column(2))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(select, docs.schema)
+    return shielded(docs, ["text"], lambda inner: inner.mapInArrow(select, inner.schema))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import linededup, media, mixing, packing, quality, sharding, simhash, tokencounts, tokenids, topk
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": topk.op8_topk,
         "op9_media": media.op9_media,
         "op10_token_counts": tokencounts.op10_token_counts,
+        "pipeline": corpus_pipeline.run,
     }
 
 

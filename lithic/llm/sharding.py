@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, only
 
 #: Bytes of text a shard holds at most.
 LIMIT = 1 << 26
@@ -74,7 +74,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     * Other columns are ignored, whatever their names.
     """
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id"), key_hash(F.col("doc_id")).alias("h"), size.alias("n_bytes"))
+    rows = only(docs, "doc_id", "text").select("doc_id", key_hash(F.col("doc_id")).alias("h"), size.alias("n_bytes"))
     rows = materialise(rows, "shards-rows")
     slots = directory(rows.select("h", "n_bytes"), limit)
     steps = sorted(r["at"] for r in slots.select("at").distinct().collect())  # BITS / STEP at most

@@ -31,6 +31,8 @@ from .common import (
     documents,
     materialise,
     mix64,
+    only,
+    shielded,
     words,
 )
 
@@ -308,7 +310,7 @@ def simhash_duplicates(docs: DataFrame) -> DataFrame:
       smallest text hash. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    keyed = collapse_repeats(docs.select("doc_id", "text"))
+    keyed = collapse_repeats(only(docs, "doc_id", "text"))
     pairs = near_groups(keyed).where("not (doc_id <=> first_id and __h <=> first_h)")
     return pairs.select("doc_id", F.col("first_id").alias("kept_id"))
 
@@ -318,6 +320,10 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
     Columns stay as they are; rows that repeat doc_id and text stay once.
     """
+    return shielded(docs, ["doc_id", "text"], _dedup)
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
     keyed = collapse_repeats(docs)
     gone = near_groups(keyed.select("doc_id", "__h", "text"))
     gone = gone.where("not (doc_id <=> first_id and __h <=> first_h)").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import documents, only, shared_dir
 from .tokens import TOKENIZER, encoder, tokenizer_version
 
 SCHEMA = "digest binary, version string, n_tokens long"
@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER) -> Dat
     * Other columns are ignored, whatever their names.
     """
     text = normalised(F.col("text").cast("string"))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keyed = only(docs, "doc_id", "text").select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     append_misses(keyed.select("digest", "text"), cache, tokenizer)
     known = read_cache(docs.sparkSession, cache, tokenizer_version(tokenizer))
     return keyed.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", "n_tokens")

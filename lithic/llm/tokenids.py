@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, documents
+from .common import batches_of, documents, only
 from .tokens import TOKENIZER, encoder
 
 BLOCK = 128
@@ -175,7 +175,7 @@ def token_id_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, percentile: flo
     * Texts of any length are encoded whole. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_writer(tokenizer, percentile), "doc_id long, n_tokens long, block_starts array<int>, data binary")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import materialise, only
 
 K = 10
 BITS = 64
@@ -57,7 +57,7 @@ def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def binary_codes(embeddings: DataFrame) -> DataFrame:
     """(vec_id, code) of the rows that have an embedding and an id."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = only(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(_code_batches, "vec_id long, code long").where("code is not null and vec_id is not null")
 
 
@@ -181,7 +181,7 @@ def top_k(codes: DataFrame, k: int = K) -> DataFrame:
       empty table, gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    items = materialise(codes.select(F.col("vec_id").alias("id"), "code").where("id is not null and code is not null").distinct(), "topk")
+    items = materialise(only(codes, "vec_id", "code").select(F.col("vec_id").alias("id"), "code").where("id is not null and code is not null").distinct(), "topk")
     n = items.count()
     width, lead = layout(n)
     segments, need = BITS // width, min(k, n - 1)
