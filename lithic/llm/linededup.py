@@ -122,7 +122,7 @@ def jaccard(a: list[str], b: list[str]) -> np.ndarray:
 # ----------------------------------------------------------------- line tables
 def _with_lines(keyed: DataFrame) -> DataFrame:
     """``keyed`` plus ``lines`` and the 64-bit hashes of its lower-case lines."""
-    return keyed.withColumn("ids", F.expr(r"transform(split(text, '\n', -1), x -> if(rlike(x, '\\S'), xxhash64(lower(x)), null))"))
+    return keyed.withColumn("ids", F.expr(r"transform(split(text, '\n', -1), x -> if(btrim(x, ' \t\r\u000b\u000c') <> '', xxhash64(lower(x)), null))"))
 
 
 def line_table(keyed: DataFrame) -> DataFrame:
@@ -230,11 +230,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(both.mapInArrow(_verify, "a long, b long, same boolean"), "lines-verified")
 
 
-def similar_lines(keyed: DataFrame) -> DataFrame:
-    """(node, component) of the lines that have a near copy; ``keyed``: doc_id, __h, text."""
+def similar_lines(keyed: DataFrame, total: int) -> DataFrame:
+    """(node, component) of the lines that have a near copy.
+
+    ``keyed`` has doc_id, __h and text, with ``total`` lines that aren't blank.
+    """
     lines = keyed.select("text").where("text is not null")
-    total = lines.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n")).first()["n"] or 0
-    bits = max(0, (int(total) // GROUP_ROWS).bit_length())
+    bits = (total // GROUP_ROWS).bit_length()
     split = _with_lines(lines).select("text", "ids")
     sent = split.mapInArrow(_sender(bits), "grp long, blob binary")
     found = materialise(sent.groupBy("grp").applyInArrow(_receive, "a long, b long, grp long, bucket long"), "lines-pairs")
@@ -262,9 +264,9 @@ def line_groups(keyed: DataFrame) -> DataFrame:
     text, each (doc_id, __h) once.
     """
     at = F.struct("doc_id", "__h", "line_no")
-    occurrences = line_table(keyed)
+    occurrences = materialise(line_table(keyed), "lines-places")
     each = occurrences.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    parts = similar_lines(keyed).select(F.col("node").alias("line"), "component")
+    parts = similar_lines(keyed, occurrences.count()).select(F.col("node").alias("line"), "component")
     each = each.join(parts, "line", "left").withColumn("component", F.coalesce("component", "line"))
     each = materialise(each, "lines-each")
     groups = each.groupBy("component").agg(F.min("first").alias("root"), F.sum("n").alias("total")).where("total > 1")
