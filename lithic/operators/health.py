@@ -72,7 +72,8 @@ def project_health(health: DataFrame) -> DataFrame:
         F.avg("maintainability_index").alias("mi"), some("cyclomatic_avg").alias("cc"), some("cognitive_avg").alias("cog"), F.count("*").alias("total_files"),
         F.coalesce(F.sum("n_functions"), F.lit(0)).alias("total_functions"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("total_lines"),
     )
-    score = F.coalesce(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("mi"))), F.lit(100.0)).cast("int")
+    # least and greatest pass over NULLs, so a project without files is told apart first
+    score = F.when(F.col("mi").isNull(), 100.0).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("mi")))).cast("int")
     return total.select(
         score.alias("score"), grade(score).alias("grade"), "total_files", "total_functions", "total_lines", rounded(F.col("cc"), 2).alias("cyclomatic_avg"),
         rounded(F.col("cog"), 2).alias("cognitive_avg"), rounded(F.coalesce("mi", F.lit(0.0)), 1).alias("maintainability_avg"),
