@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import normalised_dependency
-
 _FROM = re.compile(r"^(?P<head>\s*from\s+\S+\s+import)\s+(?P<names>\S.*?)\s*$")
 _PLAIN = re.compile(r"^(?P<head>\s*import)\s+(?P<names>\S.*?)\s*$")
 EDITS = "file string, line int, target string, new_text string, applied boolean"
@@ -148,6 +146,3 @@ def apply_fixes(findings: DataFrame, lines: DataFrame, root: Path | str, dry_run
         if result.removed_deps and not dry_run:
             project.write_text(text, encoding="utf-8")
     return result
-
-
-__all__ = ["FixResult", "apply_fixes", "fix_plan", "import_edits", "normalised_dependency", "requirement_of", "without_name", "without_requirements"]

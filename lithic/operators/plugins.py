@@ -9,8 +9,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.paths import requirement_name
-
 
 def _any(tests: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -97,7 +95,7 @@ class Registry:
 
 
 def plain_requirement(requirement: str) -> str:
-    """Name of a requirement for activation: dots stay, unlike in ``requirement_name``."""
+    """Name of a requirement for activation: dots stay, unlike where rules compare names."""
     for mark in ("[", ";", "=", "<", ">"):
         requirement = requirement.partition(mark)[0]
     return requirement.strip().lower().replace("-", "_")
@@ -107,6 +105,3 @@ def load_plugins(requirements: list[tuple[str, bool]] | None) -> Registry:
     """The plugins one of whose packages is declared, in whatever group."""
     names = {plain_requirement(r) for r, _ in requirements or []}
     return Registry({k: p for k, p in PLUGINS.items() if names & set(p.packages)})
-
-
-__all__ = ["PLUGINS", "Plugin", "Registry", "load_plugins", "plain_requirement", "requirement_name"]
