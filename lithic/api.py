@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from os import PathLike
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -13,26 +13,29 @@ from .plans.engine import Engine
 from .sources.config import Config, load_config
 from .sources.reports import Results
 
+Root = PathLike | str | None
+Settings = Config | None
+
 
 def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.appName("lithic").getOrCreate()
 
 
-def _engine(root: Path | str | None, config: Config | None) -> Engine:
+def _engine(root: Root, config: Settings) -> Engine:
     return Engine.of_tree(session(), config or load_config(root))
 
 
-def detect_dead_code(root: Path | str | None = None, config: Config | None = None) -> Results:
+def detect_dead_code(root: Root = None, config: Settings = None) -> Results:
     """The full analysis."""
     return _engine(root, config).results()
 
 
-def detect_circular_dependencies(root: Path | str | None = None, config: Config | None = None) -> list[dict[str, Any]]:
+def detect_circular_dependencies(root: Root = None, config: Settings = None) -> list[dict[str, Any]]:
     rows = _engine(root, config).cycles.collect()
     return [{"modules": r["modules"], "edges": [list(e) for e in r["edges"]]} for r in rows]
 
 
-def compute_complexity(root: Path | str | None = None, config: Config | None = None, at_least: int | None = None) -> list[dict[str, Any]]:
+def compute_complexity(root: Root = None, config: Settings = None, at_least: int | None = None) -> list[dict[str, Any]]:
     """Functions by file; with ``at_least`` those of that cyclomatic complexity or more."""
     rows = facts.functions(_engine(root, config).modules)
     if at_least is not None:
@@ -42,11 +45,11 @@ def compute_complexity(root: Path | str | None = None, config: Config | None = N
     return [r.asDict() for r in found.collect()]
 
 
-def compute_health(root: Path | str | None = None, config: Config | None = None) -> dict[str, Any]:
+def compute_health(root: Root = None, config: Settings = None) -> dict[str, Any]:
     return _engine(root, config).health_row()
 
 
-def find_duplicates(root: Path | str | None = None, config: Config | None = None, mode: str | None = None) -> list[dict[str, Any]]:
+def find_duplicates(root: Root = None, config: Settings = None, mode: str | None = None) -> list[dict[str, Any]]:
     config = config or load_config(root)
     if mode:
         config.duplicates.mode = mode

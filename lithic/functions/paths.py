@@ -40,8 +40,8 @@ def in_zone(path: Column, pattern: str) -> Column:
     out = matches_glob(path, pattern)
     if pattern.startswith("**/"):
         out = out | matches_glob(path, pattern[3:])
-    head = pattern.replace("**/", "").split("/")[0].replace("*", "")
-    if head:
+    head, _, _ = pattern.replace("**/", "").partition("/")
+    if head := head.replace("*", ""):
         out = out | F.array_contains(F.split(path, "/"), head)
     return out
 

@@ -11,11 +11,11 @@ import tokenize
 from pathlib import PurePosixPath
 
 _NOQA = re.compile(r"#\s*noqa(?P<codes>:\s*[a-z0-9, ]+)?", re.IGNORECASE)
-_BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor)
-_DECISIONS = {ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.Assert, ast.IfExp}
+_LOOPS = tuple(getattr(ast, n) for n in "AsyncFor For If While".split())
+_DECISIONS = {*_LOOPS, ast.Assert, ast.ExceptHandler, ast.IfExp}
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _METHODS = {"classmethod", "staticmethod", "property"}
-_SILENT = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING, tokenize.ENDMARKER}
+_SILENT = {getattr(tokenize, n) for n in "COMMENT DEDENT ENCODING ENDMARKER INDENT NEWLINE NL".split()}
 #: Names that the clone search treats as keywords, the soft ones among them.
 KEYWORDS = frozenset(keyword.kwlist) | {"match", "case", "type"}
 
@@ -79,7 +79,7 @@ def cognitive(root: ast.AST) -> int:
     while stack:
         node, depth = stack.pop()
         inner = depth
-        if isinstance(node, (*_BRANCHES, ast.ExceptHandler, ast.Match)):
+        if isinstance(node, (*_LOOPS, ast.ExceptHandler, ast.Match)):
             total += 1 + depth
             inner += 1
         elif isinstance(node, ast.BoolOp):
@@ -124,9 +124,13 @@ def _imports(blocks: list, flags: dict[str, bool], out: list[dict]) -> list[dict
     return out
 
 
-def _all_list(tree: ast.Module) -> list[str] | None:
-    for node in tree.body:
-        if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets) and isinstance(node.value, ast.List | ast.Tuple):
+def _names(targets: list[ast.expr]) -> list[str]:
+    return [t.id for t in targets if isinstance(t, ast.Name)]
+
+
+def _all_list(statements: list[ast.stmt]) -> list[str] | None:
+    for node in statements:
+        if isinstance(node, ast.Assign) and "__all__" in _names(node.targets) and isinstance(node.value, ast.List | ast.Tuple):
             return [e.value for e in node.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)]
     return None
 
@@ -146,12 +150,11 @@ def _exports(tree: ast.Module) -> list[dict]:
             add(node.name, "function", node, _decorators(node))
         elif isinstance(node, ast.ClassDef):
             add(node.name, "class", node, _decorators(node))
-        elif isinstance(node, ast.Assign):
-            for target in node.targets:
-                if isinstance(target, ast.Name) and not target.id.startswith("_"):
-                    add(target.id, "constant" if target.id.isupper() else "variable", node, [])
-        elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name) and not node.target.id.startswith("_"):
-            add(node.target.id, "variable", node, [])
+        elif isinstance(node, ast.Assign | ast.AnnAssign):
+            plain = isinstance(node, ast.Assign)
+            for name in _names(node.targets if plain else [node.target]):
+                if name[0] != "_":
+                    add(name, "constant" if plain and name.isupper() else "variable", node, [])
     return out
 
 
@@ -179,7 +182,7 @@ def _functions(nodes: list[ast.AST]) -> list[dict]:
 def _formats(arg: ast.expr) -> bool:
     if isinstance(arg, ast.Call):
         return (dotted_name(arg) or "").endswith(".format")
-    return isinstance(arg, ast.JoinedStr) or isinstance(arg, ast.BinOp) and isinstance(arg.op, ast.Mod)
+    return isinstance(arg, ast.JoinedStr) or isinstance(getattr(arg, "op", None), ast.Mod)
 
 
 def _calls(nodes: list[ast.AST]) -> list[dict]:
@@ -208,7 +211,7 @@ def module_facts(path: str, source: str) -> dict | None:
         "exports": _exports(tree),
         "functions": _functions(nodes),
         "calls": _calls(nodes),
-        "all_list": _all_list(tree),
+        "all_list": _all_list(tree.body),
         "referenced_names": sorted({n.id for n in loads if isinstance(n, ast.Name)}),
         "accessed_attributes": sorted({n.attr for n in loads if isinstance(n, ast.Attribute)}),
         "noqa_lines": noqa_lines(source),

@@ -73,7 +73,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _claimer(min_lines: int, min_occurrences: int):
     def claim(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (-r["length"], [(f["path"], f["pos"]) for f in r["places"]]))
-        taken: dict[str, list[tuple[int, int]]] = {}
+        taken: dict[str, list] = {}  # claimed line ranges of each file
         out = []
         for row in rows:
             own: list[dict] = []

@@ -24,8 +24,9 @@ class FixResult:
     errors: list[str] = field(default_factory=list)
 
     @property
-    def total(self) -> int:
-        return len(self.removed_imports) + len(self.deleted_files) + len(self.removed_deps)
+    def total(self):
+        """Things that were or would be removed."""
+        return sum(map(len, (self.deleted_files, self.removed_deps, self.removed_imports)))
 
 
 def without_name(line: str, name: str) -> str | None:
@@ -88,7 +89,7 @@ def fix_plan(findings: DataFrame) -> DataFrame:
 def requirement_of(line: str) -> str | None:
     """Normalised name in a line of a dependency list; '' and None for none."""
     found = re.match(r"""^\s*["']\s*([A-Za-z0-9._-]+)""", line)
-    return found[1].lower().replace("-", "_").replace(".", "_") if found else None
+    return re.sub("[-.]", "_", found[1].lower()) if found else None
 
 
 def without_requirements(text: str, names: set[str]) -> tuple[str, list[str]]:

@@ -11,6 +11,8 @@ from typing import Any, TextIO
 from . import __version__, api
 from .sources.reports import format_results
 
+ENVELOPE = {"jsonrpc": "2.0"}
+PROTOCOL = "2024-11-05"
 EXPLANATIONS = {
     "boundary-violation": "Architecture zones and what each may import; an import of another zone is reported.",
     "circular-dependencies": "Groups of modules that import each other, found as strongly connected components.",
@@ -71,18 +73,25 @@ def call_tool(name: str, arguments: dict) -> Any:
     return _RUN[name](arguments)
 
 
+def _parsed(line: str) -> Any:
+    try:
+        return json.loads(line)
+    except ValueError:
+        return None
+
+
 class Server:
     """Answers requests; there is no state between them."""
 
     def hello(self) -> dict:
-        return {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "lithic", "version": __version__}}
+        return dict(protocolVersion=PROTOCOL, capabilities={"tools": {}}, serverInfo={"name": "lithic", "version": __version__})
 
     def _call(self, params: dict) -> dict:
         try:
             text, failed = json.dumps(call_tool(params.get("name", ""), params.get("arguments", {})), indent=2), {}
         except Exception as e:  # whatever a tool runs into is the caller's answer
             text, failed = f"Error: {e}", {"isError": True}
-        return {"content": [{"type": "text", "text": text}]} | failed
+        return dict(content=[dict(type="text", text=text)]) | failed
 
     def handle(self, request: dict) -> dict:
         methods: dict[str, Callable[[], Any]] = {
@@ -91,7 +100,7 @@ class Server:
             "tools/call": lambda: self._call(request.get("params", {})),
             "tools/list": lambda: {"tools": [{"name": n, "description": d, "inputSchema": s} for n, (d, s) in TOOLS.items()]},
         }
-        head = {"jsonrpc": "2.0", "id": request.get("id")}
+        head = ENVELOPE | {"id": request.get("id")}
         method = request.get("method", "")
         if method not in methods:
             return head | {"error": {"code": -32601, "message": f"Method not found: {method}"}}
@@ -100,11 +109,7 @@ class Server:
     def run(self, lines: Iterable[str] | None = None, out: TextIO | None = None) -> None:
         """Serve ``lines``; blank and malformed ones are passed over."""
         out = out or sys.stdout
-        print(json.dumps({"jsonrpc": "2.0", "id": 0, "result": self.hello()}), file=out, flush=True)
+        print(json.dumps(ENVELOPE | {"id": 0, "result": self.hello()}), file=out, flush=True)
         for line in sys.stdin if lines is None else lines:
-            try:
-                request = json.loads(line)
-            except json.JSONDecodeError:
-                continue
-            if isinstance(request, dict):
+            if isinstance(request := _parsed(line), dict):
                 print(json.dumps(self.handle(request)), file=out, flush=True)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
+from os import PathLike
 from pathlib import Path
 from typing import Any
 
@@ -74,14 +76,14 @@ class Config:
     boundaries: Boundaries = field(default_factory=Boundaries)
     ignore_patterns: list[str] = field(default_factory=ignore_defaults)
     ignore_dependencies: list[str] = field(default_factory=list)
-    src_paths: list[str] = field(default_factory=lambda: ["src", "."])
+    src_paths: list[str] = field(default_factory=lambda: "src .".split())
     test_patterns: list[str] = field(default_factory=lambda: "tests/** test/** **/test_*.py **/*_test.py".split())
-    changed_since: str | None = None
     baseline: str | None = None
-    format: str = "human"
-    output_file: str | None = None
     ci: bool = False
+    changed_since: str | None = None
     fail_on_issues: bool = False
+    output_file: str | None = None
+    format: str = "human"
 
 
 def find_project_root(start: Path) -> Path:
@@ -125,14 +127,14 @@ def _build(raw: dict[str, Any]) -> Config:
     return config
 
 
-def load_config(root: Path | str | None = None, config_path: Path | str | None = None, overrides: dict[str, Any] | None = None) -> Config:
+def load_config(root: PathLike | str | None = None, config_path: PathLike | str | None = None, overrides: Mapping | None = None) -> Config:
     """An explicit file, else the rc file, else pyproject's table; overrides replace
     whole top-level keys."""
     folder = Path(root).resolve() if root else find_project_root(Path.cwd())
-    raw: dict[str, Any] = {}
-    if config_path:
-        raw = read_toml(Path(config_path))
-        raw = raw.get("tool", {}).get(TABLE, raw)
+    raw: Mapping = {}
+    if config_path is not None:
+        whole = read_toml(Path(config_path))
+        raw = whole.get("tool", {}).get(TABLE, whole)
     elif (folder / RC).exists():
         raw = read_toml(folder / RC)
     elif (folder / "pyproject.toml").exists():
@@ -147,4 +149,5 @@ def declared_requirements(root: Path) -> list[tuple[str, bool]] | None:
     except (OSError, tomllib.TOMLDecodeError, UnicodeDecodeError):
         return None
     main = [(d, False) for d in project.get("dependencies", [])]
-    return main + [(d, True) for group in project.get("optional-dependencies", {}).values() for d in group]
+    groups = project.get("optional-dependencies", {})
+    return main + [(need, True) for name in groups for need in groups[name]]

@@ -125,7 +125,7 @@ def test_api_commands_and_requests(spark, project, tmp_path, capsys):
     assert "Health:" in capsys.readouterr().out
 
     server = rpc.Server()
-    ask = lambda method, **p: server.handle({"jsonrpc": "2.0", "id": 7, "method": method, "params": p})
+    ask = lambda method, **p: server.handle(dict(id=7, jsonrpc="2.0", params=p, method=method))
     assert len(ask("tools/list")["result"]["tools"]) == 6 and ask("initialize")["result"]["serverInfo"]["name"] == "lithic"
     assert ask("nope")["error"]["code"] == -32601 and ask("shutdown")["result"] is None
     tool = lambda name, **a: ask("tools/call", name=name, arguments=a)["result"]
@@ -135,7 +135,7 @@ def test_api_commands_and_requests(spark, project, tmp_path, capsys):
     assert text(tool("complexity", root=str(tmp_path), threshold=2))[0]["name"] == "f" and text(tool("health", root=str(tmp_path)))["grade"] == "A"
     assert text(tool("analyze", root=str(tmp_path)))["errors"] == out.errors
     sink = io.StringIO()
-    server.run(["", "not json\n", '{"id": 1, "method": "tools/list"}\n'], sink)
+    server.run(["", "not json\n", '{"method": "tools/list", "id": 1}\n'], sink)
     assert len(sink.getvalue().splitlines()) == 2
 
 

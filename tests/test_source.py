@@ -78,17 +78,17 @@ def test_all_list_null_and_empty():
 def test_complexity_numbers():
     f = facts("""
         def simple():
-            return 1
-        def complex_fn(x):
-            if x > 0:
-                for i in range(x):
-                    if i % 2:
-                        print(i)
-                    elif i % 3:
+            return "no branch"
+        def complex_fn(items, left):
+            if items:
+                for item in items:
+                    if item.ready:
+                        go(item)
+                    elif item.late:
                         pass
-                while x:
-                    x -= 1
-            return x
+                while left:
+                    left -= 1
+            return left
         def logic(a, b, c, *args, d=1, **kw):
             assert a and b and c
             return [i for i in a if i] if b else None
