@@ -91,8 +91,11 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write ``docs`` as Parquet with one folder a shard, ``shard=<bits>_``."""
     used = {c.lower() for c in docs.columns}
     name = next(n for n in ("shard", "shard_bits", *(f"shard_{k}" for k in range(len(used) + 1))) if n not in used)
-    where = assign_shards(docs.select("doc_id", "text"), limit).select(F.col("doc_id").alias("__key"), F.concat("shard", F.lit("_")).alias("__to")).distinct()
-    out = docs.alias("d").join(where, F.expr("d.doc_id <=> __key")).select("d.*", F.col("__to").alias(name))
+    where = assign_shards(docs, limit).select(F.col("doc_id").alias("key"), F.concat("shard", F.lit("_")).alias("to")).distinct()
+    places = [f"c{k}" for k in range(len(docs.columns))]
+    inner = docs.toDF(*places)
+    out = inner.join(where, inner[docs.columns.index("doc_id")].eqNullSafe(where["key"]))
+    out = out.select(*[F.col(p).alias(c) for p, c in zip(places, docs.columns, strict=True)], F.col("to").alias(name))
     out.repartition(name).write.partitionBy(name).parquet(path)
 
 
