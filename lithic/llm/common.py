@@ -86,6 +86,13 @@ def _hashable(df: DataFrame, name: str) -> bool:
 
 
 # ----------------------------------------------------------- text in numpy
+def sliced(batches: Iterator, rows: int = 1024) -> Iterator:
+    """The batches in slices: a worker then holds that many texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def batches_of(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes add up to ``limit`` at most.
 

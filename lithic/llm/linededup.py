@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, codepoints, collapse_repeats, connected_components, documents, materialise, mix64, only, shielded
+from .common import batches_of, codepoints, collapse_repeats, connected_components, documents, materialise, mix64, only, shielded, sliced
 
 SHINGLE = 7
 BANDS = 14
@@ -145,7 +145,7 @@ def _numbered(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
 
 def _sender(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             ids, lines = _numbered(batch)
             if not len(ids):
                 continue
@@ -211,13 +211,13 @@ def _receive(table: pa.Table) -> pa.Table:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids, lines = _numbered(batch)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["line", "words"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 4096):
         same = jaccard(batch.column("x").to_pylist(), batch.column("y").to_pylist()) >= SIMILARITY
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same)], ["a", "b", "same"])
 

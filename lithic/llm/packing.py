@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, only
+from .common import documents, materialise, only, sliced
 from .tokens import TOKENIZER, encoder
 
 CAPACITY = 4096
@@ -76,7 +76,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(enc.counts(texts), pa.int64())], ["doc_id", "n_tokens"])
 

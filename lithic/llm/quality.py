@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, codepoints, documents, materialise, only, shielded, span_hash, word_spans
+from .common import batches_of, codepoints, documents, materialise, only, shielded, sliced, span_hash, word_spans
 
 #: Labelled documents that the models are fitted to at most, taken by hash.
 SAMPLE = 16384
@@ -268,7 +268,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 # ------------------------------------------------------------------- training
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("text").to_pylist()
         for lo, hi in batches_of(map(len, texts), CHUNK):
             begin, end, where, sums = word_spans(texts[lo:hi])
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 # -------------------------------------------------------------------- scoring
 def _scorer(model: dict, names: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(0).to_pylist()
             x = features([t or "" for t in texts], model["listed"])
             none = np.array([not t or not t.strip() for t in texts], bool)
@@ -365,7 +365,7 @@ def filter_documents(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, columns as they are."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scored = next(_scorer(model, ["quality", "toxicity", "keep"])(iter([pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], names=["text"])])))
             yield batch.filter(scored.column(2))
 

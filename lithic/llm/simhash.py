@@ -33,6 +33,7 @@ from .common import (
     mix64,
     only,
     shielded,
+    sliced,
     words,
 )
 
@@ -44,6 +45,8 @@ RADIUS = 4
 MAX_DIFF = 44
 #: Fingerprints that one (table, leading bits) group holds, about.
 GROUP_ROWS = 1 << 22
+#: Variants that a task holds at once.
+BUDGET = 1 << 20
 WIDTH = BITS * TABLES // 8
 CHUNK = 1 << 17
 
@@ -79,7 +82,7 @@ def fingerprints(texts: list[str]) -> list[bytes | None]:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
         fps = pa.array(fingerprints(texts), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__h"), fps], ["doc_id", "__h", "fp"])
@@ -209,7 +212,7 @@ def _collide(values: np.ndarray, lead: int, q: int, budget: int) -> Iterator[np.
         yield pos[owner], np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
 
 
-def group_edges(fps: np.ndarray, table: int, lead: int, q: int, budget: int = 1 << 22) -> np.ndarray:
+def group_edges(fps: np.ndarray, table: int, lead: int, q: int, budget: int = BUDGET) -> np.ndarray:
     """Edges (i, j) between rows of ``fps`` (distinct) found in one group.
 
     They span the components of the relation "within RADIUS in this table with
