@@ -3,6 +3,7 @@
 1. A line's shingles are its lower-case substrings of ``SHINGLE`` characters. One
    hash of each fills ``BANDS * ROWS`` bins with the least hash that falls into
    them; an empty bin takes over the next filled one (one-permutation MinHash).
+   A shingle of a short line gives several hashes, lest one shingle fill a band.
 2. Lines that agree in all ``ROWS`` bins of a band are candidates. What moves is
    a band's hash and the line's own 64-bit hash, never its text.
 3. The texts of candidates alone are joined to the pairs, and pairs whose exact
@@ -27,13 +28,17 @@ from pyspark.sql import functions as F
 from .common import batches_of, codepoints, collapse_repeats, connected_components, documents, materialise, mix64, only, shielded
 
 SHINGLE = 7
-BANDS = 14
+BANDS = 28
 ROWS = 4
-SIMILARITY = 0.7
+#: A changed word of a line spoils its own shingles and six more, a quarter of 50.
+SIMILARITY = 0.5
 ALL_PAIRS = 6
 #: Entries (band hash, line) that one group of the shuffle holds, about.
 GROUP_ROWS = 1 << 20
 CHUNK = 1 << 17
+#: Hashes for each bin that a short line has at least, and how many one shingle gives at most.
+FILL = 1
+COPIES = 8
 _BINS = BANDS * ROWS
 _ENTRY = np.dtype([("hash", "<u4"), ("line", "<u8")])
 
@@ -81,6 +86,10 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     out = np.zeros((len(lines), BANDS), np.uint64)
     for lo, hi in batches_of((len(x) + 1 for x in lines), CHUNK):
         h, owner = shingles(lines[lo:hi])
+        times = np.clip(-(-FILL * _BINS // np.bincount(owner, minlength=hi - lo)), 1, COPIES)[owner]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        h, owner = np.repeat(h, times).astype(np.uint64), np.repeat(owner, times)
+        h = mix64(h | (nth.astype(np.uint64) << np.uint64(32))) >> np.uint64(32)
         key = np.sort((owner.astype(np.uint64) << np.uint64(32)) | h)
         h = key & np.uint64(0xFFFFFFFF)
         cell = (key >> np.uint64(32)) * np.uint64(_BINS) + (h * np.uint64(_BINS) >> np.uint64(32))

@@ -87,6 +87,22 @@ def test_big_groups_of_near_lines(spark):
     assert linededup.duplicate_lines(far).count() == len(lines) - 1
 
 
+def test_one_word_changed_in_a_line(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    rows = [(0, "Copyright (c) 2019 John Smith. All rights reserved."), (1, "Copyright (c) 2020 John Smith. All rights reserved.")]
+    for k in range(1, 201):
+        w = [word()]
+        while len(" ".join(w)) < 40 + k % 40:
+            w.append(word())
+        v = list(w)
+        v[rng.randrange(len(w))] = word()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    got = {r.doc_id: r.kept_doc_id for r in linededup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == 0 and all(b == a - 1 and b % 2 == 0 for a, b in got.items())
+    assert len(got) >= 0.9 * 201
+
+
 def test_odd_lines(odd, empty):
     rows = linededup.duplicate_lines(odd)
     got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in rows.collect()}
