@@ -70,7 +70,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
         parts = differencing(own, windows)
         if max(s for s, _ in parts) <= capacity:
             return full + [[rest[k] for k in sorted(items)] for _, items in parts]
-        windows += max(1, windows // 128)
+        windows += 1
 
 
 def _counter(path: str):

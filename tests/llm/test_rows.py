@@ -49,6 +49,13 @@ def test_best_of_all_partitions():
     assert max(s for s, _ in packing.differencing(sizes, 2)) - best <= 1
 
 
+def test_large_group_takes_the_fewest_windows_that_fit():
+    rng = random.Random(1)
+    sizes = [rng.randint(10, 30) for _ in range(1500)]
+    least = next(m for m in range(-(-sum(sizes) // 100), 1501) if max(s for s, _ in packing.differencing(sizes, m)) <= 100)
+    assert least > 256 and len(packing.pack_group(sizes, 100)) == least
+
+
 def test_windows(docs, texts):
     rows = packing.pack_windows(docs, capacity=100, group=16).collect()
     want = dict(enumerate(encoder().counts(texts).tolist()))
