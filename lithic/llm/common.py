@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 MASK64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STATE: dict = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # ---------------------------------------------------------------- shared files
@@ -33,12 +34,29 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs re-reading a file, not
-    recomputing the plan that made it.
+    recomputing the plan that made it. :func:`discard` deletes the file. The
+    shuffle files behind it go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later plan reads."""
+    for table in tables:
+        if path := getattr(table, "_written", None):
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +233,8 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), "m")
-        e = materialise(small.where("a <> m").select("a", F.col("m").alias("b")).distinct(), tag)
+        last, e = e, materialise(small.where("a <> m").select("a", F.col("m").alias("b")).distinct(), tag)
+        discard(last)
         now = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if before is not None and tuple(now) == before:
             break

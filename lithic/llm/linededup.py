@@ -1,23 +1,30 @@
 """Near-duplicate lines: MinHash over character shingles, one line kept a group.
 
 1. A line's shingles are its lower-case substrings of ``SHINGLE`` characters. One
-   hash of each fills ``BANDS * ROWS`` bins with the least hash that falls into
-   them; an empty bin takes over the next filled one (one-permutation MinHash).
-   A shingle of a short line gives several hashes, lest one shingle fill a band.
-2. Lines that agree in all ``ROWS`` bins of a band are candidates. What moves is
-   a band's hash and the line's own 64-bit hash, never its text.
-3. The texts of candidates alone are joined to the pairs, and pairs whose exact
-   Jaccard similarity is ``SIMILARITY`` at least are edges.
+   hash of each fills ``bands * rows`` bins, and ``MARKS`` more, with the least hash
+   that falls into them; an empty bin takes over the next filled one (one-permutation
+   MinHash). A shingle of a short line gives several hashes, lest one fill a band.
+2. Lines that agree in all ``rows`` bins of a band are candidates. What moves is a
+   band's hash, the line's 64-bit id and its sketch: four bits of each of the further
+   bins. Of candidates whose sketches agree in fewer than ``AGREE`` places nothing
+   else is looked at; a pair as similar as ``GOAL`` has one chance in 200 of that.
+3. The texts of the remaining candidates alone are joined to the pairs, and pairs
+   whose exact Jaccard similarity is ``SIMILARITY`` at least are edges.
 4. Distributed union-find over the edges; the first line of a component stays.
 
-In a bucket of up to ``ALL_PAIRS`` lines all pairs are verified. In a larger one
-every line is first verified against the bucket's least; a line that fails is
-then verified against all others of the bucket, so no candidate pair that could
-join two components is left out.
+In a bucket of up to ``ALL_PAIRS`` lines all pairs are candidates. In a larger one
+every line is first verified against the bucket's least; a line that fails, by its
+sketch or its text, is then tried against all others of the bucket, so no candidate
+pair that could join two components is left out.
+
+Unrelated lines share shingles of frequent words, so the lines that meet by chance
+in a band grow with the corpus. ``banding`` adds a row to the bands, and bands to keep
+the chance of finding a pair, each time the corpus has grown by as much as the row saves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +32,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, codepoints, collapse_repeats, connected_components, documents, materialise, mix64, only, shielded
+from .common import batches_of, codepoints, collapse_repeats, connected_components, discard, documents, materialise, mix64, only, shielded
 
 SHINGLE = 7
-BANDS = 28
-ROWS = 4
 #: A changed word of a line spoils its own shingles and six more, a quarter of 50.
 SIMILARITY = 0.5
+#: Pairs of this similarity meet in a band with a chance of 1 - ``MISS``.
+GOAL = 0.6
+MISS = 0.022
+ROWS = 4
+#: Lines up to which ``ROWS`` are enough, and the growth that asks for another one.
+FEW = 1 << 25
+STEP = 32
+MARKS = 8
+AGREE = 2
 ALL_PAIRS = 6
-#: Entries (band hash, line) that one group of the shuffle holds, about.
+#: Entries (band hash, sketch, line) that one group of the shuffle holds, about.
 GROUP_ROWS = 1 << 20
 CHUNK = 1 << 17
+#: Pairs of sketches that a task compares at once.
+BUDGET = 1 << 21
 #: Hashes for each bin that a short line has at least, and how many one shingle gives at most.
 FILL = 1
 COPIES = 8
-_BINS = BANDS * ROWS
-_ENTRY = np.dtype([("hash", "<u4"), ("line", "<u8")])
+_NONE = np.uint32(0xFFFFFFFF)
+_ENTRY = np.dtype([("hash", "<u4"), ("sketch", "<u4"), ("line", "<u8")])
+_BLANKS = r"' \t\r\u000b\u000c'"
+
+
+def banding(lines: int) -> tuple[int, int]:
+    """(rows, bands) for a corpus of so many different lines."""
+    rows, most = ROWS, FEW
+    while lines > most:
+        rows, most = rows + 1, most * STEP
+    return rows, math.ceil(math.log(MISS) / math.log(1 - GOAL**rows))
 
 
 # ------------------------------------------------------------------- shingles
@@ -81,36 +106,52 @@ def hash_short(line: str) -> int:
     return h ^ h >> 15
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) uint64: equal in a band if all its bins agree."""
-    out = np.zeros((len(lines), BANDS), np.uint64)
+def _least_hashes(h: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """(n, bins): the least hash in each bin of each line, ``_NONE`` where it is empty."""
+    out = np.full(n * bins, _NONE)
+    times = np.clip(-(-FILL * bins // np.bincount(owner, minlength=n)), 1, COPIES)
+    for k in range(COPIES):
+        if k:
+            some = times[owner] > k
+            if not some.any():
+                break
+            owner, h, times = owner[some], h[some], times
+        own = h ^ np.uint32(k * 0x9E3779B9 & 0xFFFFFFFF)
+        own = (own ^ (own >> np.uint32(16))) * np.uint32(0x45D9F3B)
+        own = np.minimum(own ^ (own >> np.uint32(15)), _NONE - np.uint32(1))
+        cell = owner * bins + (own.astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out, cell, own)
+    return out.reshape(n, bins)
+
+
+def signatures(lines: list[str], rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, bands) uint64, equal in a band if all its bins agree, and the sketches (uint32)."""
+    out, sketch = np.zeros((len(lines), bands), np.uint64), np.zeros(len(lines), np.uint32)
+    bins = bands * rows + MARKS
     for lo, hi in batches_of((len(x) + 1 for x in lines), CHUNK):
         h, owner = shingles(lines[lo:hi])
-        times = np.clip(-(-FILL * _BINS // np.bincount(owner, minlength=hi - lo)), 1, COPIES)[owner]
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        h, owner = np.repeat(h, times).astype(np.uint64), np.repeat(owner, times)
-        h = mix64(h | (nth.astype(np.uint64) << np.uint64(32))) >> np.uint64(32)
-        key = np.sort((owner.astype(np.uint64) << np.uint64(32)) | h)
-        h = key & np.uint64(0xFFFFFFFF)
-        cell = (key >> np.uint64(32)) * np.uint64(_BINS) + (h * np.uint64(_BINS) >> np.uint64(32))
-        first = np.flatnonzero(np.diff(cell, prepend=~cell[:1]) != 0)
-        n = hi - lo
-        value = np.zeros(n * _BINS, np.uint64)
-        filled = np.zeros(n * _BINS, bool)
-        value[cell[first].astype(np.int64)] = h[first]
-        filled[cell[first].astype(np.int64)] = True
-        value, filled = value.reshape(n, _BINS), filled.reshape(n, _BINS)
+        value = _least_hashes(h, owner, hi - lo, bins)
         # the next filled bin, going round, and how far it is
-        twice = np.concatenate([filled, filled], axis=1)
-        place = np.where(twice, np.arange(2 * _BINS), 4 * _BINS)
-        nxt = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
-        away = (nxt - np.arange(_BINS)).astype(np.uint64)
-        sig = np.take_along_axis(value, nxt % _BINS, axis=1) + (away << np.uint64(33))
-        acc = np.zeros((n, BANDS), np.uint64)
-        for r in range(ROWS):
-            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS] + np.uint64(r + 1))
+        filled = value != _NONE
+        place = np.where(np.concatenate([filled, filled], axis=1), np.arange(2 * bins, dtype=np.int32), np.int32(4 * bins))
+        nxt = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        away = (nxt - np.arange(bins, dtype=np.int32)).astype(np.uint64)
+        sig = np.take_along_axis(value, nxt % bins, axis=1).astype(np.uint64) + (away << np.uint64(33))
+        acc = np.zeros((hi - lo, bands), np.uint64)
+        for r in range(rows):
+            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : bands * rows : rows] + np.uint64(r + 1))
         out[lo:hi] = acc
-    return out
+        marks = (mix64(sig[:, bands * rows :]) & np.uint64(15)).astype(np.uint32)
+        sketch[lo:hi] = (marks << (4 * np.arange(MARKS, dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
+    return out, sketch
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of four bits in which sketches agree."""
+    x = a ^ b
+    x |= x >> np.uint32(1)
+    x |= x >> np.uint32(2)
+    return MARKS - np.bitwise_count(x & np.uint32(0x11111111)).astype(np.int64)
 
 
 def jaccard(a: list[str], b: list[str]) -> np.ndarray:
@@ -129,43 +170,51 @@ def jaccard(a: list[str], b: list[str]) -> np.ndarray:
 
 
 # ----------------------------------------------------------------- line tables
-def _with_lines(keyed: DataFrame) -> DataFrame:
-    """``keyed`` plus ``lines`` and the 64-bit hashes of its lower-case lines."""
-    return keyed.withColumn("ids", F.expr(r"transform(split(text, '\n', -1), x -> if(btrim(x, ' \t\r\u000b\u000c') <> '', xxhash64(lower(x)), null))"))
-
-
 def line_table(keyed: DataFrame) -> DataFrame:
-    """(doc_id, __h, line_no, line): hash of every line that isn't blank."""
-    rows = _with_lines(keyed).select("doc_id", "__h", F.posexplode("ids").alias("line_no", "line"))
-    return rows.where("line is not null")
+    """(doc_id, __h, line_no, line, check, words, rid): every line that isn't blank.
 
+    ``words`` is the line in lower case, ``line`` and ``check`` are hashes of it with 64
+    and 32 bits, ``rid`` numbers the rows once the table is written.
+    """
+    rows = keyed.select("doc_id", "__h", F.posexplode(F.expr(r"split(text, '\n', -1)")).alias("line_no", "raw")).where(f"btrim(raw, {_BLANKS}) <> ''")
+    rows = rows.select("doc_id", "__h", "line_no", F.lower("raw").alias("words"))
+    return rows.select("*", F.xxhash64("words").alias("line"), F.hash("words").alias("check"), F.monotonically_increasing_id().alias("rid"))
 
-def _numbered(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
-    """Distinct line hashes of a batch (text, ids), and the lower-case lines."""
-    ids, lines = [], []
-    for text, own in zip(batch.column("text").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-        if text is not None:
-            ids += own
-            lines += text.split("\n")
-    keep = [k for k, i in enumerate(ids) if i is not None]
-    uniq, first = np.unique(np.array([ids[k] for k in keep], np.int64), return_index=True)
-    return uniq, [lines[keep[k]].lower() for k in first]
 
+def numbered_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The line table; (line, n, rid) of the different lines, ``rid`` one of its rows; how many they are.
 
-def _sender(bits: int):
+    Lines that share ``line`` but not ``check`` aren't equal; their ids are made
+    anew, with another seed, until no two such lines are left.
+    """
+    lines = materialise(line_table(keyed), "lines")
+    seed = 0
+    while True:
+        each = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), (F.min("check") != F.max("check")).alias("unlike"))
+        each = materialise(each, "lines-each")
+        row = each.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("unlike").cast("long")), F.lit(0)).alias("unlike")).first()
+        if not row["unlike"]:
+            return lines, each, row["n"]
+        seed += 1
+        twice = each.where("unlike").select("line", F.lit(True).alias("again"))
+        lines = lines.join(twice, "line", "left").withColumn("line", F.when(F.col("again"), F.xxhash64(F.lit(seed), "check", "words")).otherwise(F.col("line"))).drop("again")
+        lines = materialise(lines, "lines")
+
+
+def _sender(bits: int, rows: int, bands: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lines = _numbered(batch)
+            ids, first = np.unique(batch.column("line").to_numpy(), return_index=True)
             if not len(ids):
                 continue
-            hashes = band_hashes(lines)
+            hashes, sketch = signatures(batch.column("words").take(pa.array(first)).to_pylist(), rows, bands)
             entry = np.zeros(len(ids), _ENTRY)
             groups, blobs = [], []
-            for band in range(BANDS):
+            for band in range(bands):
                 h = hashes[:, band]
                 lead = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
                 order = np.argsort(lead, kind="stable")
-                entry["hash"], entry["line"] = (h & np.uint64(0xFFFFFFFF))[order], ids[order].view(np.uint64)
+                entry["hash"], entry["sketch"], entry["line"] = (h & np.uint64(0xFFFFFFFF))[order], sketch[order], ids[order].view(np.uint64)
                 lead = lead[order]
                 cut = np.flatnonzero(np.diff(lead, prepend=-1))
                 for a, b in zip(cut, [*cut[1:], len(lead)], strict=True):
@@ -176,53 +225,74 @@ def _sender(bits: int):
     return send
 
 
-def bucket_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bucket) of one group's entries; a < b.
+_PAIRS = {"a": np.int64, "b": np.int64, "bucket": np.int64, "sketch": np.int64, "near": bool}
 
-    ``bucket`` is -1 where all pairs of the bucket are listed, else its number;
-    then a is its least line and b one of the others.
+
+def bucket_pairs(entries: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns of ``_PAIRS`` for one group's entries; a < b.
+
+    ``bucket`` is -1 for a candidate pair. Else it is the number of a bucket that isn't
+    listed pair by pair, a is its least line and b one of the others, with its sketch;
+    ``near`` says whether the two sketches agree.
     """
-    order = np.lexsort((entries["line"].view(np.int64), entries["hash"]))
-    h, line = entries["hash"][order].astype(np.int64), entries["line"][order].view(np.int64)
+    key = np.sort((entries["hash"].astype(np.uint64) << np.uint64(32)) | np.arange(len(entries), dtype=np.uint64))
+    h = (key >> np.uint64(32)).astype(np.int64)
+    same = h[1:] == h[:-1]
+    keep = np.zeros(len(h), bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    entries = entries[(key[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    entries = entries[np.lexsort((entries["line"].view(np.int64), entries["hash"]))]
+    h, line, sketch = entries["hash"].astype(np.int64), entries["line"].view(np.int64), entries["sketch"]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[fresh], line[fresh]
+    h, line, sketch = h[fresh], line[fresh], sketch[fresh]
     begin = np.flatnonzero(np.diff(h, prepend=-1))
     size = np.diff(begin, append=len(h))
-    a, b, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out: dict[str, list] = {k: [np.zeros(0, t)] for k, t in _PAIRS.items()}
+
+    def add(i: np.ndarray, j: np.ndarray, bucket: np.ndarray | int, near: np.ndarray) -> None:
+        for k, v in (("a", line[i]), ("b", line[j]), ("bucket", np.full(len(i), bucket)), ("sketch", sketch[j].astype(np.int64)), ("near", near)):
+            out[k].append(v)
+
+    def near_only(i: np.ndarray, j: np.ndarray) -> None:
+        near = agreeing(sketch[i], sketch[j]) >= AGREE
+        add(i[near], j[near], -1, np.ones(int(near.sum()), bool))
+
     for n in range(2, ALL_PAIRS + 1):
         rows = begin[size == n]
         for i in range(n):
             for j in range(i + 1, n):
-                a.append(line[rows + i])
-                b.append(line[rows + j])
-                k.append(np.full(len(rows), -1))
-    big = size > ALL_PAIRS
-    rest = np.repeat(size[big] - 1, size[big] - 1)
-    at = np.repeat(begin[big] + 1, size[big] - 1) + np.arange(len(rest)) - np.repeat(np.cumsum(size[big] - 1) - (size[big] - 1), size[big] - 1)
-    a.append(np.repeat(line[begin[big]], size[big] - 1))
-    b.append(line[at])
-    k.append(h[at])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(k)
+                near_only(rows + i, rows + j)
+    for first, n in zip(begin[size > ALL_PAIRS], size[size > ALL_PAIRS], strict=True):
+        rest = np.arange(first + 1, first + n)
+        near = agreeing(sketch[rest], sketch[first]) >= AGREE
+        add(np.full(n - 1, first), rest, int(h[first]), near)
+        apart = rest[~near]
+        step = max(1, BUDGET // n)
+        for lo in range(0, len(apart), step):
+            some = apart[lo : lo + step]
+            i, j = np.repeat(some, n - 1), np.tile(rest, len(some))
+            # of two lines that are both apart the pair comes up twice
+            once = (i < j) | ((i > j) & near[j - first - 1])
+            near_only(np.minimum(i, j)[once], np.maximum(i, j)[once])
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 def _receive(table: pa.Table) -> pa.Table:
     grp = table.column("grp")[0].as_py()
-    entries = np.frombuffer(b"".join(table.column("blob").to_pylist()), _ENTRY)
-    a, b, k = bucket_pairs(entries)
+    pairs = bucket_pairs(np.frombuffer(b"".join(table.column("blob").to_pylist()), _ENTRY))
     # a pair of a small bucket once
-    small = k < 0
-    pair = np.unique(np.stack([a[small], b[small]]), axis=1) if small.any() else np.zeros((2, 0), np.int64)
-    a, b, k = np.concatenate([pair[0], a[~small]]), np.concatenate([pair[1], b[~small]]), k[~small]
-    none = pa.nulls(pair.shape[1], pa.int64())
-    bucket = pa.concat_arrays([none, pa.array(k, pa.int64())])
-    return pa.table({"a": a, "b": b, "grp": pa.array(np.full(len(a), grp)), "bucket": bucket})
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, lines = _numbered(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["line", "words"])
+    small = pairs["bucket"] < 0
+    both = np.stack([pairs["a"][small], pairs["b"][small]])
+    both = np.unique(both, axis=1) if both.shape[1] else both
+    n, large = both.shape[1], {k: v[~small] for k, v in pairs.items()}
+    none = pa.nulls(n, pa.int64())
+    return pa.table({
+        "a": np.concatenate([both[0], large["a"]]), "b": np.concatenate([both[1], large["b"]]), "grp": pa.array(np.full(n + len(large["a"]), grp)),
+        "bucket": pa.concat_arrays([none, pa.array(large["bucket"], pa.int64())]), "sketch": pa.concat_arrays([none, pa.array(large["sketch"], pa.int64())]),
+        "near": np.concatenate([np.ones(n, bool), large["near"]]),
+    })
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,30 +309,39 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(both.mapInArrow(_verify, "a long, b long, same boolean"), "lines-verified")
 
 
-def similar_lines(keyed: DataFrame, total: int) -> DataFrame:
-    """(node, component) of the lines that have a near copy.
+def _texts_of(wanted: DataFrame, lines: DataFrame, each: DataFrame) -> DataFrame:
+    """(line, words) of the lines ``wanted``, each read from one of its rows."""
+    rows = each.join(wanted, "line").select("line", "rid")
+    return materialise(lines.select("rid", "words").join(rows.hint("shuffle_hash"), "rid").select("line", "words"), "lines-texts")
 
-    ``keyed`` has doc_id, __h and text, with ``total`` lines that aren't blank.
-    """
-    lines = keyed.select("text").where("text is not null")
+
+_AGREE_SQL = "bit_count((x | shiftright(x, 1) | shiftright(x, 2) | shiftright(x, 3)) & 286331153L)"
+
+
+def similar_lines(lines: DataFrame, each: DataFrame, total: int) -> DataFrame:
+    """(node, component) of the lines that have a near copy; see :func:`numbered_lines`."""
+    rows, bands = banding(total)
     bits = (total // GROUP_ROWS).bit_length()
-    split = _with_lines(lines).select("text", "ids")
-    sent = split.mapInArrow(_sender(bits), "grp long, blob binary")
-    found = materialise(sent.groupBy("grp").applyInArrow(_receive, "a long, b long, grp long, bucket long"), "lines-pairs")
-    pairs = materialise(found.select("a", "b").distinct(), "lines-distinct")
+    sent = lines.select("line", "words").mapInArrow(_sender(bits, rows, bands), "grp long, blob binary")
+    found = materialise(sent.groupBy("grp").applyInArrow(_receive, "a long, b long, grp long, bucket long, sketch long, near boolean"), "lines-pairs")
+    pairs = materialise(found.where("near").select("a", "b").distinct(), "lines-distinct")
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    texts = split.mapInArrow(_texts, "line long, words string").join(wanted.hint("shuffle_hash"), "line", "left_semi")
-    texts = materialise(texts.dropDuplicates(["line"]), "lines-texts")
+    texts = _texts_of(wanted, lines, each)
     checked = _verified(pairs, texts)
+    discard(texts)
     edges = checked.where("same").select("a", "b")
-    # larger buckets: who failed against the least line is tried against all others
+    # larger buckets: who failed against the least line by its text is tried against all others
     stars = found.where("bucket is not null")
-    failed = stars.join(checked.where("not same"), ["a", "b"]).select("grp", "bucket", F.col("b").alias("p"))
+    failed = stars.where("near").join(checked.where("not same"), ["a", "b"]).select("grp", "bucket", F.col("b").alias("p"), F.col("sketch").alias("s"))
     if not failed.isEmpty():
-        more = failed.join(stars.select("grp", "bucket", "b"), ["grp", "bucket"]).where("p <> b")
-        more = more.select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b")).distinct()
-        more = more.join(pairs, ["a", "b"], "left_anti")
+        more = failed.join(stars.select("grp", "bucket", "b", "sketch"), ["grp", "bucket"]).where("p <> b").withColumn("x", F.expr("s ^ sketch"))
+        more = more.where(f"{MARKS} - {_AGREE_SQL} >= {AGREE}").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b")).distinct()
+        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "lines-more")
+        wanted = more.select(F.col("a").alias("line")).union(more.select("b")).distinct()
+        texts = _texts_of(wanted, lines, each)
         edges = edges.union(_verified(more, texts).where("same").select("a", "b"))
+        discard(texts, more)
+    discard(found, pairs)
     return connected_components(edges, "lines-cc")
 
 
@@ -273,14 +352,14 @@ def line_groups(keyed: DataFrame) -> DataFrame:
     text, each (doc_id, __h) once.
     """
     at = F.struct("doc_id", "__h", "line_no")
-    occurrences = materialise(line_table(keyed), "lines-places")
-    each = occurrences.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    parts = similar_lines(keyed, occurrences.count()).select(F.col("node").alias("line"), "component")
-    each = each.join(parts, "line", "left").withColumn("component", F.coalesce("component", "line"))
-    each = materialise(each, "lines-each")
-    groups = each.groupBy("component").agg(F.min("first").alias("root"), F.sum("n").alias("total")).where("total > 1")
-    several = each.select("line", "component").join(groups, "component").select("line", F.col("root").alias("first"))
-    return occurrences.join(several, "line").select("doc_id", "__h", "line_no", "first").where(F.col("first") != at)
+    lines, each, total = numbered_lines(keyed)
+    parts = similar_lines(lines, each, total).select(F.col("node").alias("line"), "component")
+    repeated = each.where("n > 1").select("line")
+    member = parts.union(repeated.join(parts, "line", "left_anti").select("line", F.col("line").alias("component")))
+    rows = materialise(lines.select("doc_id", "__h", "line_no", "line").join(member, "line").select("doc_id", "__h", "line_no", "component"), "lines-groups")
+    discard(lines, each)
+    groups = rows.groupBy("component").agg(F.min(at).alias("first"))
+    return rows.join(groups, "component").where(F.col("first") != at).select("doc_id", "__h", "line_no", "first")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -319,7 +398,8 @@ def _dedup(docs: DataFrame) -> DataFrame:
     gone = line_groups(keyed.select("doc_id", "__h", "text")).groupBy("doc_id", "__h").agg(F.collect_set("line_no").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"), "__gone")
     rows = keyed.join(gone, F.expr("doc_id <=> __id and __h <=> __g"), "left")
-    left = F.expr(r"array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(__gone, i)), '\n')")
+    rows = rows.withColumn("__parts", F.expr(r"if(__gone is null, null, split(text, '\n', -1))"))
+    left = F.expr(r"array_join(transform(array_except(sequence(0, size(__parts) - 1), __gone), i -> __parts[i]), '\n')")
     rows = rows.withColumn("__left", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
     rows = rows.where(r"__gone is null or rlike(__left, '\\S')")
     new = {"text": F.col("__left"), "n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__left")) if "n_chars" in docs.columns else None}

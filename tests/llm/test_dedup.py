@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from lithic.llm import common, linededup, simhash
+from pyspark.sql import functions as F
 
 
 def components(nodes, edges):
@@ -72,10 +73,63 @@ def test_large_bucket_tries_failed_lines_against_the_rest():
     entries = np.zeros(9, linededup._ENTRY)
     entries["hash"] = [5] * 8 + [6]
     entries["line"] = np.arange(9) + 10
-    a, b, k = linededup.bucket_pairs(entries)
-    assert set(a) == {10} and sorted(b) == list(range(11, 18)) and set(k) == {5}
-    a, b, k = linededup.bucket_pairs(entries[6:])
-    assert (list(a), list(b), list(k)) == ([16], [17], [-1])
+    got = linededup.bucket_pairs(entries)
+    assert set(got["a"]) == {10} and sorted(got["b"]) == list(range(11, 18)) and set(got["bucket"]) == {5} and got["near"].all()
+    entries["hash"] = [5] * 8 + [5]
+    entries["sketch"] = [0, 0, 0x11111111, 0x11111100, 0x22222222, 0, 0, 0x1F, 0x33333333]
+    got = linededup.bucket_pairs(entries)
+    star = got["bucket"] == 5
+    assert dict(zip(got["b"][star].tolist(), got["near"][star].tolist())) == {11: True, 12: False, 13: True, 14: False, 15: True, 16: True, 17: True, 18: False}
+    # those apart from line 10 meet whom they are near to, once
+    assert sorted(zip(got["a"][~star].tolist(), got["b"][~star].tolist())) == [(12, 13)] and set(got["bucket"][~star]) == {-1}
+
+
+def test_every_candidate_pair_of_a_bucket_is_tried(monkeypatch):
+    rng = np.random.default_rng(5)
+    for budget in (7, 1 << 20):
+        monkeypatch.setattr(linededup, "BUDGET", budget)
+        entries = np.zeros(60, linededup._ENTRY)
+        entries["hash"], entries["line"] = rng.integers(0, 4, 60), rng.permutation(60)
+        entries["sketch"] = rng.choice(np.array([0, 0x11, 0x11111111, 0x22222211, 0x12121212], np.uint32), 60)
+        got = linededup.bucket_pairs(entries)
+        pairs = sorted(zip(got["a"][got["bucket"] < 0].tolist(), got["b"][got["bucket"] < 0].tolist()))
+        assert len(set(pairs)) == len(pairs)
+        tried = {*pairs, *zip(got["a"][got["near"]].tolist(), got["b"][got["near"]].tolist())}
+        by_line = {int(e["line"]): e for e in entries}
+        least = {int(h): min(int(e["line"]) for e in entries if e["hash"] == h) for h in entries["hash"]}
+        for a, b in itertools.combinations(range(60), 2):
+            x, y = by_line[a], by_line[b]
+            if x["hash"] != y["hash"] or linededup.agreeing(x["sketch"], y["sketch"]) < linededup.AGREE:
+                continue
+            first = by_line[least[int(x["hash"])]]
+            # near to the least line both, they are left to what their texts say about it
+            both = all(linededup.agreeing(z["sketch"], first["sketch"]) >= linededup.AGREE for z in (x, y))
+            assert both or (a, b) in tried
+
+
+def test_lines_that_share_an_id_but_not_their_text(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"line number {k % 5} of five", k) for k in range(20)], "doc_id long, text string, __h long")
+    real = linededup.line_table
+    monkeypatch.setattr(linededup, "line_table", lambda keyed: real(keyed).withColumn("line", F.lit(7).cast("long")))
+    lines, each, total = linededup.numbered_lines(rows)
+    assert total == 5 and sorted(r.n for r in each.collect()) == [4] * 5
+    assert len({(r.line, r.words) for r in lines.select("line", "words").distinct().collect()}) == 5
+
+
+def test_bands_keep_their_chance_as_the_corpus_grows():
+    assert linededup.banding(0) == linededup.banding(1 << 25) == (4, 28)
+    for lines in (1, 1 << 26, 1 << 32, 1 << 40):
+        rows, bands = linededup.banding(lines)
+        assert 0.975 < 1 - (1 - linededup.GOAL**rows) ** bands < 0.99
+    assert linededup.banding(1 << 40)[0] == 7
+
+
+def test_more_rows_find_the_same(docs, texts, monkeypatch):
+    monkeypatch.setattr(linededup, "FEW", 8)
+    assert linededup.banding(300) == (6, 80)
+    want = brute_lines(texts)
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in linededup.duplicate_lines(docs).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
 
 
 def test_big_groups_of_near_lines(spark):
