@@ -24,6 +24,7 @@ SCALE, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x2AD7B1, 0x
 #: Elements that end a cluster or segment of unknown size.
 _TOP = {CLUSTER, CUES, TRACKS, INFO, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 _MASK = [0] + [(1 << 7 * n) - 1 for n in range(1, 9)]
+_INT, _LONG = (1 << 31) - 1, (1 << 63) - 1
 #: Lines a cluster holds and time between them in the files that are written.
 CLUSTER_LINES = 64
 FRAME_MS = 40
@@ -32,7 +33,7 @@ CHUNK = 1 << 22
 
 # --------------------------------------------------------------------- parsing
 class Truncated(Exception):
-    """The file ends, or lies outside its parent, within an element."""
+    """An element ends outside its parent or the file, or holds a number out of range."""
 
 
 def element_id(data: bytes, at: int, end: int) -> tuple[int, int]:
@@ -65,8 +66,10 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int, bool]:
     return key, at, at + size, False
 
 
-def _uint(data: bytes, a: int, b: int) -> int:
-    return int.from_bytes(data[a:b], "big")
+def _uint(data: bytes, a: int, b: int, most: int = _LONG) -> int:
+    if b - a > 8 or (value := int.from_bytes(data[a:b], "big")) > most:
+        raise Truncated
+    return value
 
 
 def lace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
@@ -142,7 +145,7 @@ def parse(data: bytes) -> tuple[list[tuple], bool]:
             if key == TRACK_NUMBER:
                 number = _uint(data, x, y)
             elif key == TRACK_TYPE:
-                kind = _uint(data, x, y)
+                kind = _uint(data, x, y, _INT)
             elif key == CODEC:
                 codec = data[x:y].rstrip(b"\0").decode("ascii", "replace")
             elif key == DEFAULT_DURATION:
@@ -267,7 +270,10 @@ def parse(data: bytes) -> tuple[list[tuple], bool]:
     for track, time, duration, keyframe, position, nth, k, offset, size, count in rows:
         kind, codec, default = tracks.get(track, (None, None, None))
         each = default if duration is None else duration * scale // count
-        out.append((track, kind, codec, time * scale + k * (each or 0), each, keyframe, position, nth, k, offset, size, (track, position, time) in cues))
+        at = time * scale + k * (each or 0)
+        if not -_LONG <= at <= _LONG or (each or 0) > _LONG:
+            return out, False
+        out.append((track, kind, codec, at, each, keyframe, position, nth, k, offset, size, (track, position, time) in cues))
     return out, complete
 
 
@@ -383,10 +389,11 @@ def matroska_packets(files: DataFrame) -> DataFrame:
     payload's byte range in the file. No shuffle.
 
     * A NULL or empty file, and one that isn't EBML, has no packets.
-    * A truncated or broken file gives the packets before the fault, with
-      ``complete`` false. Unknown sizes, unknown elements and unlisted tracks
+    * A truncated or broken file, and one with numbers that don't fit their columns,
+      gives the packets before the fault, with ``complete`` false. Unknown sizes, unknown elements and unlisted tracks
       are read; the latter have a NULL type and codec.
-    * NULL and repeated doc_ids and repeated rows are parsed row by row.
+    * NULL and repeated doc_ids and repeated rows are parsed row by row. ``doc_id``
+      must be a number.
     * Files of any length are read whole. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
