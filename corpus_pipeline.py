@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lithic.llm.common import documents, materialise
 from lithic.llm.linededup import dedup_lines
 from lithic.llm.mixing import mix_documents
-from lithic.llm.packing import pack_windows
+from lithic.llm.packing import pack_sequence
 from lithic.llm.quality import filter_documents, train
 from lithic.llm.simhash import simhash_dedup
 
@@ -37,13 +37,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources draws them, each at least once."""
+    """Documents as often as the mix of sources draws them, each at least once, in its order."""
     return mix_documents(docs, max_repeats=MAX_REPEATS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(window, doc_id, start, n_tokens): what each training window holds."""
-    return pack_windows(docs)
+    """(window, doc_id, start, n_tokens): what each training window holds; its documents are neighbours in the mix."""
+    return pack_sequence(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -54,8 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: The classifier, MinHash, SimHash and token counts can't be put in SQL; tests hold
-#: each stage against a brute-force version.
+#: The classifier, MinHash, SimHash and token counts can't be put in SQL; tests hold the
+#: stages against brute-force versions on a small table.
 ORACLE_SQL = None
 
 

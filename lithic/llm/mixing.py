@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,9 +28,8 @@ MAX_REPEATS = 4.0
 BLOCK_TOKENS = 1 << 20
 STEPS = 60
 DIGITS = 9
-#: Up to so many sources the exponent is found on the driver, beyond by one
-#: aggregation a step.
-DRIVER_SOURCES = 1 << 20
+#: Exponents that one aggregation over the sources tries.
+POINTS = 15
 BUCKET_DIGITS = 3
 
 
@@ -42,52 +40,67 @@ def word_count(text: Column) -> Column:
 
 # ------------------------------------------------------------------ exponent
 class _Shares:
-    """Sums over all sources for one exponent: of share^a, and of share^a ln share."""
+    """What the exponent's targets ask of the sources; they stay where they are."""
 
     def __init__(self, sources: DataFrame):
         row = sources.agg(F.sum("tokens").alias("s"), F.min("tokens").alias("lo"), F.max("tokens").alias("hi"), F.count("*").alias("n")).first()
         self.n, self.total, self.low, self.high = row["n"], float(row["s"] or 0), float(row["lo"] or 0), float(row["hi"] or 0)
         self.sources = sources
-        self.tokens = None
-        if self.n <= DRIVER_SOURCES:
-            self.tokens = np.sort(np.array([r["tokens"] for r in sources.select("tokens").collect()], np.float64))
-
-    def sums(self, a: float) -> tuple[float, float]:
-        if self.tokens is not None:
-            share = self.tokens / self.total
-            power = share**a
-            return float(power.sum()), float((power * np.log(share)).sum())
+
+    def sums(self, exponents: list[float]) -> list[tuple[float, float]]:
+        """For each exponent the sums over all sources of share^a and share^a ln share; one aggregation."""
         share = F.col("tokens") / F.lit(self.total)
-        row = self.sources.agg(F.sum(F.pow(share, F.lit(a))).alias("z"), F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias("l")).first()
-        return row["z"], row["l"]
+        z = [F.sum(F.pow(share, F.lit(a))).alias(f"z{k}") for k, a in enumerate(exponents)]
+        l = [F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"l{k}") for k, a in enumerate(exponents)]
+        row = self.sources.agg(*z, *l).first()
+        return [(row[f"z{k}"], row[f"l{k}"]) for k in range(len(exponents))]
 
-    def entropy(self, a: float) -> float:
+    def entropies(self, exponents: list[float]) -> list[float]:
         """Of the weights share^a / Z, in nats."""
-        z, l = self.sums(a)
-        return math.log(z) - a * l / z
+        return [math.log(z) - a * l / z for a, (z, l) in zip(exponents, self.sums(exponents), strict=True)]
 
     def repeats(self, a: float) -> float:
         """Of the rarest source when the largest is used once."""
         return (self.high / self.low) ** (1 - a)
 
+    def repeats_within(self, exponents: list[float], budget: float) -> list[float]:
+        """Of the rarest source in a mix of ``budget`` tokens."""
+        return [budget * (self.low / self.total) ** a / z / self.low for a, (z, _) in zip(exponents, self.sums(exponents), strict=True)]
+
 
-def exponent(sources: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None) -> float:
-    """The exponent for ``sources`` (tokens): the least one that meets the target.
+def exponent(sources: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None) -> float:
+    """The exponent for ``sources`` (tokens): the least one that meets the target, rounded up.
 
     Entropy and repeats both fall as the exponent grows. With ``target_entropy``
     the weights have that entropy; below what the shares have as they are the
     exponent is 1, above log(sources) it is 0. With ``max_repeats`` it is the
-    least exponent for which no source is repeated more often.
+    least exponent for which no source is repeated more often, in a mix of
+    ``budget`` tokens if there is one. A budget of more than ``max_repeats`` times
+    all tokens can't keep to it: the exponent is then 1, which repeats all alike.
+
+    Where the sources must be summed up for each exponent, ``POINTS`` exponents share
+    an aggregation and the interval between two of them is cut on.
     """
     shares = _Shares(sources)
-    if not shares.n or shares.low == shares.high:
+    if not shares.n or (shares.low == shares.high and (budget is None or target_entropy is not None)):
         return 1.0
     low, high = 0.0, 1.0
-    for _ in range(STEPS):
-        mid = (low + high) / 2
-        over = shares.entropy(mid) > target_entropy if target_entropy is not None else shares.repeats(mid) > max_repeats
-        low, high = (mid, high) if over else (low, mid)
-    return math.floor(high * 10**DIGITS + 0.5) / 10**DIGITS
+    if target_entropy is None and budget is None:
+        if shares.repeats(0.0) <= max_repeats:
+            return 0.0
+        for _ in range(STEPS):
+            mid = (low + high) / 2
+            low, high = (mid, high) if shares.repeats(mid) > max_repeats else (low, mid)
+    else:
+        most = max_repeats if target_entropy is None else target_entropy
+        values = shares.entropies if target_entropy is not None else lambda tried: shares.repeats_within(tried, budget)
+        if values([0.0])[0] <= most:
+            return 0.0
+        while high - low > 0.1**DIGITS / 100:
+            tried = [low + (high - low) * k / (POINTS + 1) for k in range(1, POINTS + 1)]
+            over = sum(v > most for v in values(tried))  # they fall, so the first ones
+            low, high = tried[over - 1] if over else low, tried[over] if over < POINTS else high
+    return math.ceil(high * 10**DIGITS) / 10**DIGITS
 
 
 def source_budgets(sources: DataFrame, a: float, budget: int | None = None) -> DataFrame:
@@ -154,7 +167,7 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, target_entropy: float |
     sized = materialise(sized, "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     sources = materialise(sources, "mix-sources")
-    quotas = source_budgets(sources, exponent(sources, target_entropy, max_repeats), budget)
+    quotas = source_budgets(sources, exponent(sources, target_entropy, max_repeats, budget), budget)
     total = quotas.agg(F.sum("quota").alias("q")).first()["q"] or 0
     blocks = max(1, -(-total // block_tokens))
     drawn = draw(sized, quotas, seed)
@@ -165,16 +178,21 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, target_entropy: float |
 
 
 def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
-    """The rows of ``docs`` as often as :func:`mix` draws them, columns as they are."""
-    return shielded(docs, ["doc_id", "text", "source"], lambda inner: _repeat(inner, kwargs))
+    """The rows of ``docs`` as often as :func:`mix` draws them, in its order, columns as they are.
+
+    Rows come in ranges of whole runs of (block, pos), sorted, so that the files that
+    are written from them hold the mixed sequence. NULLs, sources without a token,
+    repeated rows and an empty table are treated as in :func:`mix`; a row whose
+    source has no token goes.
+    """
+    return shielded(docs, ["doc_id", "text", "source"], lambda inner: _sequence(inner, kwargs))
 
 
-def _repeat(docs: DataFrame, kwargs: dict) -> DataFrame:
-    times = mix(docs, **kwargs).groupBy("doc_id", "__h").agg(F.count("*").alias("__times"))
-    times = times.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"), "__times")
-    kept = collapse_repeats(docs).join(times, F.expr("doc_id <=> __id and __h <=> __g"))
-    repeated = kept.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _sequence(docs: DataFrame, kwargs: dict) -> DataFrame:
+    places = mix(docs, **kwargs).select("doc_id", "__h", "block", "pos")
+    places = materialise(places.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"), F.struct("block", "pos").alias("__at")), "mix-places")
+    drawn = collapse_repeats(docs).join(places, F.expr("doc_id <=> __id and __h <=> __g"))
+    return drawn.repartitionByRange("__at").sortWithinPartitions("__at").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +213,7 @@ bis AS (
   SELECT i + 1, CASE WHEN pow(hi / lo, 1 - (low + high) / 2) > {MAX_REPEATS} THEN (low + high) / 2 ELSE low END,
          CASE WHEN pow(hi / lo, 1 - (low + high) / 2) > {MAX_REPEATS} THEN high ELSE (low + high) / 2 END
   FROM bis, ext WHERE i < {STEPS}),
-a AS (SELECT CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE floor(high * 1e{DIGITS} + 0.5) / 1e{DIGITS} END AS a FROM bis, ext WHERE i = {STEPS}),
+a AS (SELECT CASE WHEN hi = lo THEN 1.0::DOUBLE WHEN hi / lo <= {MAX_REPEATS} THEN 0.0::DOUBLE ELSE ceil(high * 1e{DIGITS}) / 1e{DIGITS} END AS a FROM bis, ext WHERE i = {STEPS}),
 q AS (SELECT source, tokens, floor(hi * pow(tokens / hi, a) + 0.5)::BIGINT AS quota FROM src, ext, a),
 n AS (SELECT greatest(1, -(-sum(quota)::BIGINT // {BLOCK_TOKENS}))::BIGINT AS blocks FROM q),
 e AS (

@@ -1,7 +1,7 @@
 """Packing documents into windows by Karmarkar-Karp multiway differencing.
 
-Pieces are dealt into groups of about ``GROUP`` by hash, and each group is packed
-on its own: a partial partition is the sums of its windows; the two with the
+Pieces are dealt into groups of about ``GROUP``, by the hash of a row number or by
+consecutive rows of the input's files, and each group is packed on its own: a partial partition is the sums of its windows; the two with the
 largest differences (largest minus smallest sum) are merged, the largest sums of
 one with the smallest of the other, until one is left. A group starts with the
 fewest windows that its tokens need and gets another one whenever a window comes
@@ -78,7 +78,7 @@ def _counter(path: str):
         enc = encoder(path)
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(enc.counts(texts), pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(enc.counts(texts), pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
     return count
 
@@ -98,15 +98,27 @@ def _packer(capacity: int):
 
 
 def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Windows of ``lengths`` (doc_id, n_tokens); see :func:`pack_windows`."""
-    lengths = materialise(lengths.select("doc_id", "n_tokens").where("n_tokens > 0"), "pack")
+    """Windows of ``lengths`` (doc_id, n_tokens, and perhaps run); see :func:`pack_windows`.
+
+    Rows of one ``run`` (long) are packed together. Without runs, rows are dealt by
+    the hash of their number in the written table, so rows that look alike spread.
+    """
+    lengths = lengths.where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id())
+    lengths = materialise(lengths, "pack")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(capacity).cast("long")))
-    pieces = lengths.select("doc_id", "n_tokens", starts.alias("start"))
-    pieces = pieces.select("doc_id", "start", F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("start")).alias("n_tokens"))
-    groups = max(1, -(-pieces.count() // group))
-    # the first piece's size is in the hash so that rows that share a doc_id spread
-    where = F.pmod(F.xxhash64("doc_id", "start", "n_tokens"), F.lit(groups).cast("long"))
-    dealt = pieces.withColumn("grp", where)
+    pieces = lengths.select("*", starts.alias("start"))
+    size = F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("start")).alias("size")
+    if "run" in lengths.columns:
+        # two runs of one number would be one group, which is as good
+        groups = max(1, -(-lengths.count() // group))
+        dealt = pieces.select(F.expr("pmod(run, 1L << 39)").alias("grp"), "doc_id", "start", size)
+    else:
+        groups = max(1, -(-pieces.count() // group))
+        where = F.pmod(F.xxhash64("row", "start"), F.lit(groups).cast("long"))
+        dealt = pieces.select(where.alias("grp"), "doc_id", "start", size)
+    # by number, lest few bytes of much work are merged into few tasks
+    tasks = max(1, min(groups, int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = dealt.withColumnRenamed("size", "n_tokens").repartition(tasks, "grp")
     return dealt.groupBy("grp").applyInArrow(_packer(capacity), "window long, doc_id long, start long, n_tokens long")
 
 
@@ -118,13 +130,32 @@ def pack_windows(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     ``capacity``, and a document is cut only every ``capacity`` tokens.
 
     * NULL and empty texts have no tokens and are in no window.
-    * NULL and repeated doc_ids and repeated rows are packed row by row.
+    * NULL and repeated doc_ids and repeated rows are packed row by row, and spread
+      over the groups however many there are. ``doc_id`` must be a number.
     * Very long texts give as many full windows as they fill and one piece.
     * Equal sizes are taken by doc_id. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pack_lengths(rows.mapInArrow(_counter(tokenizer), "doc_id long, n_tokens long"), capacity, group)
+    return _windows(only(docs, "doc_id", "text"), capacity, tokenizer, group)
+
+
+def pack_sequence(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, group: int = GROUP) -> DataFrame:
+    """:func:`pack_windows` of a table read from files, by runs of ``group`` consecutive rows.
+
+    What is near in the files, as :func:`mixing.mix_documents` orders them, is in windows
+    of one group; all else holds as for :func:`pack_windows`.
+    """
+    file = docs.metadataColumn("_metadata")
+    run = F.xxhash64(file["file_path"], F.floor(file["row_index"] / F.lit(group)))
+    at = [docs.columns.index(c) for c in ("doc_id", "text")]
+    named = docs.select("*", run.alias("__run")).toDF(*[f"c{k}" for k in range(len(docs.columns))], "run")
+    return _windows(named.select(F.col(f"c{at[0]}").alias("doc_id"), "run", F.col(f"c{at[1]}").alias("text")), capacity, tokenizer, group)
+
+
+def _windows(rows: DataFrame, capacity: int, tokenizer: str, group: int) -> DataFrame:
+    rows = rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    run = ", run long" if "run" in rows.columns else ""
+    return pack_lengths(rows.mapInArrow(_counter(tokenizer), f"doc_id long{run}, n_tokens long"), capacity, group)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
