@@ -21,10 +21,10 @@ BITS = 60
 STEP = 10
 
 
-def key_hash(key: Column) -> Column:
-    """First 60 bits of the MD5 of a key as text; NULL counts as the empty text."""
-    text = F.coalesce(key.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
+def key_hash(key: Column, text: Column) -> Column:
+    """First 60 bits of the MD5 of a key and a text; NULL counts as the empty text."""
+    whole = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, BITS // 4), 16, 10).cast("long")
 
 
 def _prefix_bits(prefix: str, depth: str) -> Column:
@@ -66,35 +66,45 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     ``shard`` is the prefix of hash bits, as text, and ``depth`` its length.
 
-    * The hash is that of doc_id; NULL doc_ids share one, as do repeated ones, so
-      their rows are in one shard, which is the one case where a shard may
-      exceed ``limit`` (as may a single text that is longer than it).
+    * The hash is that of doc_id and text, so rows that share a doc_id, NULL or not,
+      spread. Rows that repeat both share a shard, which alone may exceed ``limit``
+      (as may a single text that is longer than it).
     * A NULL or empty text has 0 bytes. A table that fits, or an empty one, isn't
       split: its shard is the empty prefix.
     * Other columns are ignored, whatever their names.
     """
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
-    rows = only(docs, "doc_id", "text").select("doc_id", key_hash(F.col("doc_id")).alias("h"), size.alias("n_bytes"))
+    rows = only(docs, "doc_id", "text").select("doc_id", key_hash(F.col("doc_id"), F.col("text")).alias("h"), size.alias("n_bytes"))
     rows = materialise(rows, "shards-rows")
-    slots = directory(rows.select("h", "n_bytes"), limit)
+    out = _located(rows, directory(rows.select("h", "n_bytes"), limit))
+    return out.select("doc_id", "found.shard", F.col("found.depth").cast("int").alias("depth"), "n_bytes")
+
+
+def _located(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """``rows``, which have ``h``, with ``found``: shard and depth by the directory."""
     steps = sorted(r["at"] for r in slots.select("at").distinct().collect())  # BITS / STEP at most
     out = rows
     for k, at in enumerate(steps):
         part = slots.where(F.col("at") == at).select(F.col("slot").alias(f"slot{k}"), F.struct("shard", "depth").alias(f"found{k}"))
         out = out.join(part, F.expr(f"shiftrightunsigned(h, {BITS - at})") == F.col(f"slot{k}"), "left")
     found = F.coalesce(*[F.col(f"found{k}") for k in range(len(steps))]) if steps else F.struct(F.lit("").alias("shard"), F.lit(0).alias("depth"))
-    out = out.withColumn("found", found)
-    return out.select("doc_id", "found.shard", F.col("found.depth").cast("int").alias("depth"), "n_bytes")
+    return out.withColumn("found", found)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write ``docs`` as Parquet with one folder a shard, ``shard=<bits>_``."""
+    """Write ``docs`` as Parquet with one folder a shard, ``shard=<bits>_``.
+
+    Every row is written once, with its columns as they are; NULLs, repeated rows,
+    ties and an empty table are treated as in :func:`assign_shards`.
+    """
     used = {c.lower() for c in docs.columns}
     name = next(n for n in ("shard", "shard_bits", *(f"shard_{k}" for k in range(len(used) + 1))) if n not in used)
-    where = assign_shards(docs, limit).select(F.col("doc_id").alias("key"), F.concat("shard", F.lit("_")).alias("to")).distinct()
     places = [f"c{k}" for k in range(len(docs.columns))]
     inner = docs.toDF(*places)
-    out = inner.join(where, inner[docs.columns.index("doc_id")].eqNullSafe(where["key"]))
+    key, text = (F.col(places[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    inner = inner.withColumn("h", key_hash(key, text))
+    rows = inner.select("h", F.coalesce(F.octet_length(text.cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    out = _located(inner, directory(rows, limit)).withColumn("to", F.concat("found.shard", F.lit("_")))
     out = out.select(*[F.col(p).alias(c) for p, c in zip(places, docs.columns, strict=True)], F.col("to").alias(name))
     out.repartition(name).write.partitionBy(name).parquet(path)
 
@@ -107,7 +117,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {BITS // 4}))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, {BITS // 4}))::BIGINT AS h
   FROM documents),
 p AS (
   SELECT k AS depth, h >> ({BITS} - k) AS prefix, sum(n_bytes) AS b, min(h) = max(h) AS one
