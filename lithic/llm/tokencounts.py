@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, only, shared_dir
+from .common import documents, only, shared_dir, sliced
 from .tokens import TOKENIZER, encoder, tokenizer_version
 
 SCHEMA = "digest binary, version string, n_tokens long"
@@ -43,17 +43,9 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None
 
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(path), set()
-        for batch in batches:
-            digests = batch.column("digest").to_pylist()
-            fresh = []
-            for k, d in enumerate(digests):
-                if d not in seen:
-                    seen.add(d)
-                    fresh.append(k)
-            if fresh:
-                texts = batch.column("text").take(pa.array(fresh)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in fresh], pa.binary()), pa.array(enc.counts(texts), pa.int64())], ["digest", "n_tokens"])
+        enc = encoder(path)
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(enc.counts(batch.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     return count
 
@@ -61,16 +53,17 @@ def _counter(path: str):
 def append_misses(keyed: DataFrame, cache: str, tokenizer: str = TOKENIZER) -> None:
     """Count the texts of ``keyed`` (digest, text) that the cache lacks, and store them.
 
-    Texts move to the task of their digest, which encodes each digest once.
-    A lost executor repeats its task; a batch shows up in the cache only once it
-    is written as a whole.
+    Each task first drops the copies among its own rows, so a text that a third of all
+    rows hold moves once a task; then each digest is encoded once. A lost executor
+    repeats its task. A reader during the write may see part of a batch, whose counts
+    are right; what it lacks it counts itself.
     """
     spark, version = keyed.sparkSession, tokenizer_version(tokenizer)
     known = read_cache(spark, cache, version)
     miss = keyed.where("digest is not null")
     if known is not None:
         miss = miss.join(known.select("digest"), "digest", "left_anti")
-    rows = miss.repartition("digest").mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
+    rows = miss.dropDuplicates(["digest"]).select("digest", "text").mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
     rows = rows.select("digest", F.lit(version).alias("version"), "n_tokens")
     rows.write.parquet(f"{cache}/batch={uuid.uuid4().hex}")
 
@@ -85,7 +78,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER) -> Dat
     * NULL and repeated doc_ids, and repeated rows, are kept as they are.
     * Texts that are equal after normalisation are encoded once, however many
       rows have them and however long they are.
-    * An empty table gives no rows and stores nothing new.
+    * An empty table gives no rows and stores a batch without any.
     * Other columns are ignored, whatever their names.
     """
     text = normalised(F.col("text").cast("string"))
