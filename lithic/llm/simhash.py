@@ -16,6 +16,7 @@ rows in place of the 821 variants of a 40-bit fingerprint.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -53,7 +54,10 @@ CHUNK = 1 << 17
 
 # ------------------------------------------------------------------ fingerprints
 def fingerprints(texts: list[str]) -> list[bytes | None]:
-    """Fingerprint of each text, all tables' bits in a row; None without a word."""
+    """Fingerprint of each text, all tables' bits in a row; None for a blank one.
+
+    A text without a word gets hash bits of all its characters, so that equal ones meet.
+    """
     out: list[bytes | None] = [None] * len(texts)
     for lo, hi in batches_of(map(len, texts), CHUNK):
         hashes, where = words(texts[lo:hi])
@@ -78,6 +82,9 @@ def fingerprints(texts: list[str]) -> list[bytes | None]:
         packed = np.packbits(2 * totals > size[:, None], axis=1)
         for k, row in zip(where[begin], packed, strict=True):
             out[lo + int(k)] = row.tobytes()
+    for k, text in enumerate(texts):
+        if out[k] is None and text.strip():
+            out[k] = hashlib.shake_128(text.encode("utf-8", "surrogatepass")).digest(WIDTH)
     return out
 
 
@@ -284,7 +291,7 @@ def near_groups(keyed: DataFrame) -> DataFrame:
 
     ``keyed`` has doc_id, __h and text, each (doc_id, __h) once. One row for
     every document of a group of two or more; (first_id, first_h) is the
-    smallest of the group, which stays. Documents without a word are in none.
+    smallest of the group, which stays. Blank documents are in none.
     """
     marked = materialise(with_fingerprints(keyed).where("fp is not null"), "simhash")
     nodes = materialise(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "__h")).alias("first"), F.count("*").alias("n")), "simhash-nodes")
@@ -304,7 +311,8 @@ def simhash_duplicates(docs: DataFrame) -> DataFrame:
     are near copies if one of their 40-bit fingerprints differs in 4 bits at
     most and all 200 bits in 44 at most; groups are the connected components.
 
-    * NULL, empty and wordless texts have no fingerprint and are never removed.
+    * NULL, empty and blank texts have no fingerprint and are never removed. Texts
+      without a word are near copies only of equal ones. ``doc_id`` must be a number.
     * NULL doc_ids sort first, so such a row is the one kept; a removed row with
       a NULL doc_id is listed with it.
     * Rows that repeat doc_id and text are one document. Rows that share only
