@@ -214,6 +214,11 @@ def test_one_word_changed_is_found():
     assert found >= 54
 
 
+def test_texts_without_a_word(spark):
+    rows = spark.createDataFrame([(1, "!!! ---"), (2, "!!! ---"), (3, "!!! --"), (4, "🙂🙂"), (5, "🙂🙂"), (6, " \n"), (7, " \n"), (8, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept_id) for r in simhash.simhash_duplicates(rows).collect()) == [(2, 1), (5, 4)]
+
+
 def test_odd_documents(odd, empty):
     got = sorted((r.doc_id or 0, r.kept_id) for r in simhash.simhash_duplicates(odd).collect())
     assert got == [(6, 5), (7, 1)]

@@ -69,6 +69,25 @@ def test_windows(docs, texts):
     assert set(got) == set(want)
 
 
+def test_rows_that_look_alike_spread(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text " * 5).alias("text"))
+    got = packing.pack_windows(rows, capacity=100, group=64).select(F.expr("window >> 24").alias("grp")).groupBy("grp").count().collect()
+    assert len(got) == 63 and max(r["count"] for r in got) < 130
+
+
+def test_neighbours_in_files_share_a_group(spark, tmp_path):
+    rows = [(k, f"text of row {k} " * (k % 7)) for k in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("run", F.lit(1)).coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    got = packing.pack_sequence(docs, capacity=200, group=50).collect()
+    want = {k: len(encoder().encode_plain(t)) for k, t in rows if t}
+    assert {(r.doc_id, r.start): r.n_tokens for r in got} == {(k, a): min(200, n - a) for k, n in want.items() for a in range(0, n, 200)}
+    groups = {}
+    for r in got:
+        groups.setdefault(r.window >> 24, set()).add(r.doc_id // 50)
+    assert len(groups) == 10 and all(len(g) == 1 for g in groups.values())
+
+
 def test_odd_windows(odd, empty):
     rows = packing.pack_windows(odd).collect()
     assert {r.doc_id for r in rows} == {1, None, 4, 5, 6, 7, 8} and sum(r.doc_id == 1 for r in rows) == 3
@@ -88,12 +107,31 @@ def test_exponent_meets_targets(spark):
     assert mixing.exponent(rows, target_entropy=9) == 0 and mixing.exponent(rows, target_entropy=0.01) == 1 and mixing.exponent(rows.limit(1), max_repeats=2) == 1
 
 
-def test_exponent_without_the_driver(spark, monkeypatch):
+def test_limit_holds_under_a_budget(spark):
     rows = spark.createDataFrame([("a", 900), ("b", 50)], "source string, tokens long")
-    want = mixing.exponent(rows, target_entropy=0.5)
-    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 1)
-    monkeypatch.setattr(mixing, "STEPS", 20)
-    assert mixing.exponent(rows, target_entropy=0.5) == pytest.approx(want, abs=1e-5)
+    a = mixing.exponent(rows, max_repeats=4, budget=3000)
+    quotas = {r.source: r.quota / r.tokens for r in mixing.source_budgets(rows, a, 3000).collect()}
+    assert 3.98 < quotas["b"] <= 4.01 and quotas["a"] < 4
+    # more than all tokens four times over can't keep to it, and is then spread evenly
+    assert mixing.exponent(rows, max_repeats=4, budget=10_000) == 1
+    even = {r.quota / r.tokens for r in mixing.source_budgets(rows, 1.0, 10_000).collect()}
+    assert max(even) - min(even) < 0.02
+
+
+@given(st.lists(st.integers(1, 10**6), min_size=2, max_size=6, unique=True), st.floats(1.01, 30))
+@settings(max_examples=60, deadline=None)
+def test_rounded_exponent_keeps_the_limit(tokens, limit):
+    class Rows:
+        def agg(self, *_):
+            return self
+
+        def first(self):
+            return {"s": sum(tokens), "lo": min(tokens), "hi": max(tokens), "n": len(tokens)}
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "F", __import__("unittest.mock").mock.MagicMock())
+        a = mixing.exponent(Rows(), max_repeats=limit)
+    assert (max(tokens) / min(tokens)) ** (1 - a) <= limit * (1 + 1e-12) and 0 <= a <= 1
 
 
 def test_mix(docs, texts):
@@ -116,10 +154,18 @@ def test_mix(docs, texts):
         assert abs(sum(r.n_tokens for r in own) - 500) <= 3 * max(length.values())
 
 
-def test_each_document_is_used(docs, texts):
-    out = mixing.mix_documents(docs, max_repeats=2.0)
-    ids = [r.doc_id for r in out.collect()]
-    assert set(ids) == set(range(len(texts))) and max(map(ids.count, ids)) <= 3 and out.columns == docs.columns
+def test_mixed_rows_are_the_mix(spark, docs, texts, tmp_path):
+    kwargs = {"max_repeats": 2.0, "block_tokens": 300}
+    want = [r.doc_id for r in sorted(mixing.mix(docs, **kwargs).collect(), key=lambda r: (r.block, r.pos))]
+    out = mixing.mix_documents(docs, **kwargs)
+    out.write.parquet(str(tmp_path / "mixed"))
+    got = [r.doc_id for f in sorted((tmp_path / "mixed").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+    assert got == want and out.columns == docs.columns
+    assert set(want) == set(range(len(texts)))
+    for s in range(3):  # quotas are exceeded by less than a document
+        own = [len(t.split()) for k, t in enumerate(texts) if k % 3 == s]
+        drawn = sum(len(texts[d].split()) for d in want if d % 3 == s)
+        assert drawn < 2 * sum(own) + max(own)
 
 
 def test_odd_mix(odd, empty):
@@ -185,7 +231,7 @@ def test_token_tables(docs, texts, odd, empty):
 # --------------------------------------------------------------- token counts
 def test_counts_come_from_the_cache(spark, docs, texts, odd, empty, tmp_path):
     cache = f"file://{tmp_path}/cache"
-    want = encoder().counts(texts).tolist()
+    want = [len(encoder().encode_plain(t)) for t in texts]
     assert {r.doc_id: r.n_tokens for r in tokencounts.token_counts(docs, cache).collect()} == dict(enumerate(want))
     stored = spark.read.parquet(f"{cache}/batch=*")
     assert stored.count() == len(set(texts))
@@ -200,7 +246,7 @@ def test_counts_come_from_the_cache(spark, docs, texts, odd, empty, tmp_path):
     other = tokencounts.token_counts(docs, marked, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
     assert -1 not in {r.n_tokens for r in other.collect()}
     rows = tokencounts.token_counts(odd, cache).collect()
-    assert len(rows) == odd.count() and [r.n_tokens for r in rows if r.doc_id in (2, 3)] == [None, 0] or [r.n_tokens for r in rows if r.doc_id == 3] == [0]
+    assert len(rows) == odd.count() and {r.doc_id: r.n_tokens for r in rows if r.doc_id in (2, 3)} == {2: None, 3: 0}
     assert tokencounts.token_counts(empty, cache).count() == 0 and tokencounts.token_counts(empty, f"{cache}-none").count() == 0
 
 
@@ -223,7 +269,11 @@ def test_shards_against_sql(docs, limit):
 
 def test_odd_shards(spark, odd, empty, tmp_path):
     rows = sharding.assign_shards(odd, 20).collect()
-    assert len(rows) == odd.count() and len({r.shard for r in rows if r.doc_id == 1}) == 1 == len({r.shard for r in rows if r.doc_id is None})
+    assert len(rows) == odd.count() and len({r.shard for r in rows if r.doc_id == 1 and r.n_bytes == 11}) == 1
+    held = {}
+    for r in rows:
+        held.setdefault(r.shard, set()).add((r.doc_id, r.n_bytes))
+    assert all(sum(n for _, n in own) <= 20 or len(own) == 1 for own in held.values())
     assert sharding.assign_shards(empty, 20).count() == 0
     sharding.write_shards(odd.toDF(*[f"{c}_{k}" if k == 8 else c for k, c in enumerate(odd.columns)]), str(tmp_path / "shards"), 20)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == odd.count()
