@@ -8,6 +8,7 @@ import io
 import keyword
 import re
 import tokenize
+from collections.abc import Collection
 from pathlib import PurePosixPath
 
 _NOQA = re.compile(r"#\s*noqa(?P<codes>:\s*[a-z0-9, ]+)?", re.IGNORECASE)
@@ -57,37 +58,86 @@ def dotted_name(call: ast.Call) -> str | None:
     return ".".join(parts) or None
 
 
+#: Fields that hold no node that any fact depends on.
+_PLAIN = {"ctx", "op", "ops", "type_comment", "type_ignores"}
+_FIELDS: dict[type, tuple[str, ...]] = {}
+_NESTING = {*_LOOPS, ast.ExceptHandler, ast.Match}
+
+
+class _Walk:
+    """What one breadth-first walk over a tree finds.
+
+    ``functions`` are [node, whether its parent is a class, cyclomatic, cognitive]. A
+    decision counts for every function around it: cyclomatic is 1 and one more for each,
+    cognitive 1 + nesting below the function for those that break the flow.
+    """
+
+    def __init__(self, tree: ast.Module):
+        self.functions: list[list] = []
+        self.calls: list[ast.Call] = []
+        self.names: set[str] = set()
+        self.attributes: set[str] = set()
+        # node, nesting, functions around it with the nesting of their own content, in a class
+        level: list[tuple] = [(tree, 0, (), False)]
+        while level:
+            below: list[tuple] = []
+            for node, depth, around, in_class in level:
+                kind = type(node)
+                flow = extra = nests = 0
+                if kind is ast.Name:
+                    if type(node.ctx) is ast.Load:
+                        self.names.add(node.id)
+                    continue
+                if kind is ast.Constant:
+                    continue
+                if kind is ast.Attribute:
+                    if type(node.ctx) is ast.Load:
+                        self.attributes.add(node.attr)
+                elif kind is ast.Call:
+                    self.calls.append(node)
+                elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+                    found = [node, in_class, 1, 0]
+                    self.functions.append(found)
+                    nests = 1
+                elif kind is ast.BoolOp:
+                    flow = extra = len(node.values) - 1
+                elif kind is ast.comprehension:
+                    flow = 1 + len(node.ifs)
+                elif kind in _DECISIONS:
+                    flow = 1
+                    nests = kind in _NESTING
+                elif kind is ast.Match:
+                    flow, nests = len(node.cases) - 1, 1
+                if around and (flow or kind in _NESTING):
+                    for owner, base in around:
+                        owner[2] += flow
+                        owner[3] += extra + (1 + depth - base if kind in _NESTING else 0)
+                inner = depth + nests
+                if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+                    around = (*around, (found, inner))
+                fields = _FIELDS.get(kind)
+                if fields is None:
+                    fields = _FIELDS[kind] = tuple(f for f in kind._fields if f not in _PLAIN)
+                owned = kind is ast.ClassDef
+                for name in fields:
+                    value = getattr(node, name, None)
+                    if value.__class__ is list:
+                        for child in value:
+                            if isinstance(child, ast.AST):
+                                below.append((child, inner, around, owned and name == "body"))
+                    elif isinstance(value, ast.AST):
+                        below.append((value, inner, around, False))
+            level = below
+
+
 def cyclomatic(root: ast.AST) -> int:
-    """1 and one more for each decision below ``root``, nested functions included."""
-    total = 1
-    for node in ast.walk(root):
-        kind = type(node)
-        if kind in _DECISIONS:
-            total += 1
-        elif kind is ast.BoolOp:
-            total += len(node.values) - 1
-        elif kind is ast.comprehension:
-            total += 1 + len(node.ifs)
-        elif kind is ast.Match:
-            total += len(node.cases) - 1
-    return total
+    """1 and one more for each decision below the function ``root``, nested functions included."""
+    return _Walk(ast.Module([root], [])).functions[0][2]
 
 
 def cognitive(root: ast.AST) -> int:
-    """Sum of 1 + nesting over the flow-breaking nodes below ``root``."""
-    total, stack = 0, [(child, 0) for child in ast.iter_child_nodes(root)]
-    while stack:
-        node, depth = stack.pop()
-        inner = depth
-        if isinstance(node, (*_LOOPS, ast.ExceptHandler, ast.Match)):
-            total += 1 + depth
-            inner += 1
-        elif isinstance(node, ast.BoolOp):
-            total += len(node.values) - 1
-        elif isinstance(node, _DEFS):
-            inner += 1
-        stack += [(child, inner) for child in ast.iter_child_nodes(node)]
-    return total
+    """Sum of 1 + nesting over the flow-breaking nodes below the function ``root``."""
+    return _Walk(ast.Module([root], [])).functions[0][3]
 
 
 _BLOCKS = ("body", "handlers", "orelse", "finalbody", "cases")
@@ -158,14 +208,11 @@ def _exports(tree: ast.Module) -> list[dict]:
     return out
 
 
-def _functions(nodes: list[ast.AST]) -> list[dict]:
+def _functions(walk: _Walk) -> list[dict]:
     out = []
-    methods = {child for node in nodes if isinstance(node, ast.ClassDef) for child in node.body if isinstance(child, _DEFS)}
-    for node in nodes:
-        if not isinstance(node, _DEFS):
-            continue
+    for node, in_class, cyclo, cogni in walk.functions:
         kind = "function"
-        if node in methods:
+        if in_class:
             kind = "method"
             for d in node.decorator_list:
                 if isinstance(d, ast.Name) and d.id in _METHODS:
@@ -173,7 +220,7 @@ def _functions(nodes: list[ast.AST]) -> list[dict]:
         end = node.end_lineno or node.lineno
         args = node.args
         out.append({
-            "name": node.name, "kind": kind, "line": node.lineno, "end_line": end, "cyclomatic": cyclomatic(node), "cognitive": cognitive(node),
+            "name": node.name, "kind": kind, "line": node.lineno, "end_line": end, "cyclomatic": cyclo, "cognitive": cogni,
             "parameters": len(args.args) + len(args.posonlyargs) + len(args.kwonlyargs), "lines_of_code": end - node.lineno + 1,
         })
     return out
@@ -185,43 +232,55 @@ def _formats(arg: ast.expr) -> bool:
     return isinstance(arg, ast.JoinedStr) or isinstance(getattr(arg, "op", None), ast.Mod)
 
 
-def _calls(nodes: list[ast.AST]) -> list[dict]:
+def _calls(walk: _Walk) -> list[dict]:
     out = []
-    for node in nodes:
-        if isinstance(node, ast.Call) and (name := dotted_name(node)):
+    for node in walk.calls:
+        if name := dotted_name(node):
             dynamic = any(not isinstance(a, ast.Constant) for a in node.args)
             out.append({"name": name, "line": node.lineno, "col": node.col_offset, "has_dynamic_arg": dynamic, "has_format_arg": any(map(_formats, node.args))})
     return out
 
 
-def module_facts(path: str, source: str) -> dict | None:
-    """The row of MODULES for one file; None where it doesn't parse."""
+def _global_names(tree: ast.Module) -> list[str]:
+    """Public names that the module's own statements assign, as often as they do."""
+    plain = [n for x in tree.body if isinstance(x, ast.Assign | ast.AnnAssign) for n in _names(x.targets if isinstance(x, ast.Assign) else [x.target])]
+    return [n for n in plain if n[0] != "_"]
+
+
+#: Facts that ask for a walk over the whole tree.
+_WALKED = {"functions", "calls", "referenced_names", "accessed_attributes"}
+
+
+def module_facts(path: str, source: str, wanted: Collection[str] | None = None) -> dict | None:
+    """The row of MODULES for one file, or its ``wanted`` fields; None where it doesn't parse."""
     try:
         tree = ast.parse(source, filename=path)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    nodes = list(ast.walk(tree))
-    loads = [n for n in nodes if isinstance(n, ast.Name | ast.Attribute) and isinstance(n.ctx, ast.Load)]
+    walk = _Walk(tree) if wanted is None or _WALKED & set(wanted) else None
     name = PurePosixPath(path).name
-    package = re.sub(r"\.[^./]*$", "", path).replace("/", ".")
-    return {
-        "path": path,
-        "package": package.removesuffix(".__init__"),
-        "imports": _imports(tree.body, dict.fromkeys(["is_type_checking", "is_conditional", "is_try_except"], False), []),
-        "exports": _exports(tree),
-        "functions": _functions(nodes),
-        "calls": _calls(nodes),
-        "all_list": _all_list(tree.body),
-        "referenced_names": sorted({n.id for n in loads if isinstance(n, ast.Name)}),
-        "accessed_attributes": sorted({n.attr for n in loads if isinstance(n, ast.Attribute)}),
-        "noqa_lines": noqa_lines(source),
-        "is_init": name == "__init__.py",
-        "is_main": name == "__main__.py",
-        "is_test": name.startswith("test_") or name.endswith("_test.py"),
-        "is_conftest": name == "conftest.py",
-        "line_count": len(source.splitlines()),
-        "content_hash": hashlib.sha256(source.encode("utf-8", "replace")).hexdigest()[:16],
+    facts = {
+        "path": lambda: path,
+        "package": lambda: re.sub(r"\.[^./]*$", "", path).replace("/", ".").removesuffix(".__init__"),
+        "imports": lambda: _imports(tree.body, dict.fromkeys(["is_type_checking", "is_conditional", "is_try_except"], False), []),
+        "exports": lambda: _exports(tree),
+        "functions": lambda: _functions(walk),
+        "calls": lambda: _calls(walk),
+        "all_list": lambda: _all_list(tree.body),
+        "referenced_names": lambda: sorted(walk.names),
+        "accessed_attributes": lambda: sorted(walk.attributes),
+        "noqa_lines": lambda: noqa_lines(source),
+        "is_init": lambda: name == "__init__.py",
+        "is_main": lambda: name == "__main__.py",
+        "is_test": lambda: name.startswith("test_") or name.endswith("_test.py"),
+        "is_conftest": lambda: name == "conftest.py",
+        "line_count": lambda: len(source.splitlines()),
+        "content_hash": lambda: hashlib.sha256(source.encode("utf-8", "replace")).hexdigest()[:16],
+        "classes": lambda: [x.name for x in tree.body if isinstance(x, ast.ClassDef)],
+        "global_variables": lambda: _global_names(tree),
+        "docstring": lambda: ast.get_docstring(tree),
     }
+    return {k: f() for k, f in facts.items() if wanted is None or k in wanted}
 
 
 def source_tokens(source: str) -> tuple[list[str], list[str], list[int]]:

@@ -43,13 +43,13 @@ def repeated_windows(wins: DataFrame, length: int, min_occurrences: int = 2) ->
     ``positions`` is sorted by file and place; of overlapping ones in a file the
     first is kept.
     """
-    often = wins.groupBy("hash", "check").agg(F.sort_array(F.collect_list(F.struct("path", "pos"))).alias("all"), F.count("*").alias("n"))
-    often = often.where(F.col("n") >= min_occurrences)
-    kept = F.expr(
-        f"aggregate(all, cast(array() as array<struct<path:string,pos:int>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).path = x.path "
-        f"and x.pos - element_at(acc, -1).pos < {int(length)}, acc, concat(acc, array(x))))"
-    )
-    return often.select("hash", "check", kept.alias("positions")).where(F.size("positions") >= min_occurrences)
+    # within a file first: what is sorted and kept there is small, and windows are combined only then
+    each = wins.groupBy("hash", "check", "path").agg(F.sort_array(F.collect_list("pos")).alias("all"))
+    kept = F.expr(f"aggregate(all, cast(array() as array<int>), (acc, x) -> if(size(acc) > 0 and x - element_at(acc, -1) < {int(length)}, acc, array_append(acc, x)))")
+    each = each.select("hash", "check", F.when(F.size("all") > 1, kept).otherwise(F.col("all")).alias("kept"), "path")
+    placed = F.transform("kept", lambda p: F.struct(F.col("path").alias("path"), p.alias("pos")))
+    often = each.groupBy("hash", "check").agg(F.sum(F.size("kept")).alias("n"), F.collect_list(placed).alias("all")).where(F.col("n") >= min_occurrences)
+    return often.select("hash", "check", F.sort_array(F.flatten("all")).alias("positions"))
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,12 +14,20 @@ from ..functions.python_source import KEYWORDS, module_facts, source_tokens
 from ..schemas import MODULES, TOKENS
 
 
+#: A corpus of more bytes a task than this is parsed where it is read.
+SPREAD_BYTES = 1 << 25
+
 
 def _spread(corpus: DataFrame) -> DataFrame:
-    """Sources over all tasks by path: parsing costs far more than moving a file, and
-    neither the files' order on disk nor small shuffle outputs should decide who does it."""
-    tasks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus.sparkSession.sparkContext.defaultParallelism)
-    return corpus.select("path", "content").repartition(tasks, "path")
+    """A small corpus over all tasks by path, a large one as it comes.
+
+    Parsing costs far more than reading, so the few partitions of a small table would
+    leave tasks idle; moving it is cheap. A large one has splits enough, and isn't moved.
+    """
+    spark, rows = corpus.sparkSession, corpus.select("path", "content")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(tasks, "path") if size <= tasks * SPREAD_BYTES else rows
 
 
 #: Rows a worker turns into facts at a time.
@@ -43,18 +51,20 @@ def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def modules(corpus: DataFrame) -> DataFrame:
+def modules(corpus: DataFrame, wanted: Collection[str] | None = None) -> DataFrame:
     """One row of ``MODULES`` for every file that parses; others are left out.
 
     The one pass over the sources: every table below is an explode of its result.
+    ``wanted`` names the columns that are made, by default all.
     """
-    schema = to_arrow_schema(StructType.fromDDL(MODULES))
+    kinds = StructType([f for f in StructType.fromDDL(MODULES).fields if wanted is None or f.name in wanted])
+    schema = to_arrow_schema(kinds)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (f for b in batches for path, source in _sources(b) if (f := module_facts(path, source)))
+        rows = (f for b in batches for path, source in _sources(b) if (f := module_facts(path, source, wanted)))
         return _batched(rows, schema)
 
-    return _spread(corpus).mapInArrow(parse, MODULES)
+    return _spread(corpus).mapInArrow(parse, kinds)
 
 
 def parse_errors(corpus: DataFrame) -> DataFrame:
@@ -62,7 +72,7 @@ def parse_errors(corpus: DataFrame) -> DataFrame:
 
     def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"path": [p for p, s in _sources(b) if module_facts(p, s) is None]}, pa.schema([("path", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"path": [p for p, s in _sources(b) if module_facts(p, s, ()) is None]}, pa.schema([("path", pa.string())]))
 
     return corpus.select("path", "content").mapInArrow(failed, "path string")
 
@@ -112,6 +122,11 @@ def normalised_values(rows: DataFrame, mode: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ flat tables
+#: Columns of ``modules`` that :func:`functions` and :func:`calls` read.
+FUNCTION_FACTS = ("path", "is_test", "is_conftest", "line_count", "functions")
+CALL_FACTS = ("path", "is_test", "is_conftest", "calls")
+
+
 def imports(mods: DataFrame) -> DataFrame:
     """One row an import: path, import_id and the fields of IMPORT."""
     return mods.select("path", F.posexplode("imports").alias("import_id", "i")).select("path", "import_id", "i.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..schemas import FIELDS, FINDINGS
+from ..storage import materialise
 
 
 def fix_action(kind: str, target: Column, auto: bool = True) -> Column:
@@ -73,6 +74,20 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("file", "line", "rule", "seq", "message")
 
 
+def numbered_findings(findings: DataFrame) -> DataFrame:
+    """Sorted findings with ``place``, their number in the report from 1.
+
+    Ranges of the order are written; a range's rows are numbered within it, after the
+    rows of all ranges before it. No task holds more than a range.
+    """
+    order = ["file", "line", "rule", "seq", "message"]
+    ranged = materialise(findings.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = counts.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = ranged.withColumn("nth", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
+    return inside.join(before, "__range").withColumn("place", F.col("nth") + F.col("before")).drop("__range", "nth", "before")
+
+
 def totals(findings: DataFrame, cycles: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: total_issues, errors, warnings. Cycles and clone groups count beside
     the findings that they also give, so they count twice."""

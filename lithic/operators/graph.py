@@ -6,6 +6,8 @@ folder, so plans stay short and no node set is ever on the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,26 @@ def entry_points(mods: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.where((F.col("path").cast("string") == "__init__.py") | F.col("is_main") | alone).select("path")
 
 
+#: Levels that a round of reachability takes before it is written.
+HOPS = 4
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(path): ``starts`` and all that they lead to.
 
-    One join a level of the graph; a level only carries nodes not seen before.
+    A round takes ``HOPS`` levels of the graph and carries on with the nodes that no
+    round has seen before.
     """
-    links = materialise(edges.select("src", "dst"), "links")
+    links = materialise(edges.select("src", "dst").distinct(), "links")
     seen = front = materialise(starts.select("path").distinct(), "seen")
     while not front.isEmpty():
-        step = front.join(links, front.path == links.src).select(F.col("dst").alias("path")).distinct()
-        front = materialise(step.join(seen, "path", "left_anti"), "front")
-        seen = seen.union(front)
+        levels = [front]
+        for _ in range(HOPS):
+            last = levels[-1]
+            levels.append(last.join(links, last.path == links.src).select(F.col("dst").alias("path")).distinct())
+        found = reduce(DataFrame.union, levels[1:]).distinct()
+        front = materialise(found.join(seen, "path", "left_anti"), "front")
+        seen = materialise(seen.union(front), "seen")
     return seen
 
 

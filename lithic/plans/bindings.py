@@ -42,25 +42,44 @@ def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): each supplier nation's two customer nations with the most line items."""
-    order = W.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return nation_lines(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k <= 2").select("src", "dst")
+    """(src, dst): each supplier nation and the customer nations with line items of it."""
+    return nation_lines(spark, sf_dir).select("src", "dst")
 
 
 NATION_EDGES = """
-lines AS (
-  SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  GROUP BY ALL),
-edges AS (SELECT src, dst FROM lines QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 2)
+edges AS (
+  SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
 """
 
 
-def nation_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Module flags of the nations: nation 0 is a main module, none is a test."""
+# ------------------------------------------------------------- orders as modules
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): each order leads to its customer's next one of the same priority; a last one
+    with the status F leads back to the first."""
+    own = W.partitionBy("o_custkey", "o_orderpriority")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(own.orderBy("o_orderkey")).alias("later"), F.min("o_orderkey").over(own).alias("first"), "o_orderstatus"
+    )
+    dst = F.coalesce("later", F.when(F.col("o_orderstatus") == "F", F.col("first")))
+    return rows.select("src", dst.alias("dst")).where("dst is not null")
+
+
+ORDER_EDGES = """
+chain AS (
+  SELECT o_orderkey AS src, o_orderstatus, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS later, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS first
+  FROM orders),
+edges AS (
+  SELECT src, CASE WHEN later IS NOT NULL THEN later WHEN o_orderstatus = 'F' THEN first END AS dst FROM chain
+  WHERE later IS NOT NULL OR o_orderstatus = 'F')
+"""
+
+
+def order_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Module flags of the orders: pending ones are main modules, none is a test."""
     no = F.lit(False)
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("path"), (F.col("n_nationkey") == 0).alias("is_main"), no.alias("is_test"), no.alias("is_conftest"), no.alias("is_init"), F.lit(1).alias("line_count")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("path"), (F.col("o_orderstatus") == "P").alias("is_main"), no.alias("is_test"), no.alias("is_conftest"), no.alias("is_init"), F.lit(1).alias("line_count")
     )
 
 
@@ -155,3 +174,52 @@ def package_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     users = suppliers.select(F.concat(F.lit("pkg/suppliers/s"), "s_suppkey", F.lit(".py")).alias("path"), F.concat(line, F.lit("\n")).alias("source"))
     return from_table(mods.union(users), F.col("path"), F.col("source"))
+
+
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One module a part with exports of all kinds; small parts list them in ``__all__``,
+    with a name that isn't there."""
+    p = F.col("p_partkey").cast("string")
+    listed = F.when(F.col("p_size") <= 25, F.concat(F.lit("__all__ = ['Part"), p, F.lit("', 'lost_"), p, F.lit("', 'json']\n"))).otherwise("\n")
+    body = F.concat(
+        F.lit("MAKE = 1\nbrand: str = 'b'\n_hidden = 2\nimport json\n@app.route('/x')\n@cached\ndef view_"), p, F.lit("():\n    return MAKE\nclass Part"), p,
+        F.lit("(Base):\n    def get(self):\n        return self.kind\ndef __getattr__(name):\n    pass\nasync def _quiet():\n    pass\n"),
+    )
+    text = F.concat(F.lit('"""Part '), p, F.lit('."""\n'), listed, body)
+    return from_table(table(spark, sf_dir, "part"), F.concat(F.lit("parts/p"), p, F.lit(".py")), text)
+
+
+def statement_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One module a part: an assignment with its size and brand, a comment, a condition."""
+    text = F.concat(F.lit("total = "), F.col("p_size").cast("string"), F.lit(' + "'), "p_brand", F.lit('"  # a note\n\nif total > 1:\n    match_ = total\n'))
+    return from_table(table(spark, sf_dir, "part"), F.concat(F.lit("parts/t"), F.col("p_partkey").cast("string"), F.lit(".py")), text)
+
+
+def block_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One module a part: a line of its own, a block that all parts of its brand have, a line of its own."""
+    p, b = F.col("p_partkey").cast("string"), F.regexp_replace("p_brand", "[^0-9]", "")
+    lines = [F.concat(F.lit(f"step_{k}_"), b, F.lit(f" = call_{k}_"), b, F.lit(f"(a_{k}_"), b, F.lit(f", {k})\n")) for k in range(1, 6)]
+    text = F.concat(F.lit("before_"), p, F.lit(" = own_"), p, F.lit("\n"), *lines, F.lit("after_"), p, F.lit(" = own_"), p, F.lit("\n"))
+    return from_table(table(spark, sf_dir, "part"), F.concat(F.lit("parts/b"), p, F.lit(".py")), text)
+
+
+def import_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One module a supplier that imports packages: under another name, of the standard library,
+    private ones, and one for each nation."""
+    s, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = F.concat(F.lit("import yaml.loader\nimport os.path, _thread_tools\nfrom cv2 import imread\nimport Nation_"), n, F.lit("\n"))
+    return from_table(table(spark, sf_dir, "supplier"), F.concat(F.lit("imports/s"), s, F.lit(".py")), text)
+
+
+def plugin_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, decorators, module, path): parts as exports and imports in files that frameworks know."""
+    pick = lambda values, key: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(key, F.lit(len(values))).cast("int") + 1)
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("id"), pick(PLUGIN_NAMES, key).alias("name"), F.array(F.lit("cached"), pick(PLUGIN_DECORATORS, F.col("p_size"))).alias("decorators"), pick(PLUGIN_PATHS, F.floor(key / 11)).alias("path")
+    )
+
+
+PLUGIN_NAMES = ["app", "urlpatterns", "helper", "Model", "Depends", "create_app"]
+PLUGIN_DECORATORS = ["task", "receiver", "fixture", "get", "errorhandler", "nothing", "parametrize"]
+PLUGIN_PATHS = ["src/models.py", "src/migrations/0001.py", "tests/conftest.py", "src/tasks.py", "src/main.py", "src/wsgi.py", "src/util.py"]

@@ -94,6 +94,12 @@ class Engine:
         tests = self.modules.where("is_test or is_conftest").select("path")
         return graph.reachable(self.edges, self.entry_points.union(tests))
 
+    def is_reachable(self, path: str) -> bool:
+        return not self.reachable.where(F.col("path") == path).isEmpty()
+
+    def is_entry_point(self, path: str) -> bool:
+        return not self.entry_points.where(F.col("path") == path).isEmpty()
+
     @cached_property
     def unreachable(self) -> DataFrame:
         return graph.unreachable_files(self.modules, self.edges).orderBy("path")
@@ -151,6 +157,8 @@ class Engine:
         exports = {r: s(r) for r in ("unused-functions", "unused-classes", "unused-variables")}
         if any(v != "off" for v in exports.values()):
             parts.append(rules.unused_exports(self.modules, self.edges, self.symbols, exports))
+        if on("unused-all-entries"):
+            parts.append(rules.undefined_all_entries(self.modules, s("unused-all-entries")))
         if self.requirements is not None:
             asked = rules.declared(self.spark, self.requirements)
             if on("unused-dependencies"):

@@ -15,7 +15,8 @@ CALL = "struct<name:string,line:int,col:int,has_dynamic_arg:boolean,has_format_a
 MODULES = (
     f"path string, package string, imports array<{IMPORT}>, exports array<{EXPORT}>, functions array<{FUNCTION}>, calls array<{CALL}>, "
     "all_list array<string>, referenced_names array<string>, accessed_attributes array<string>, noqa_lines array<int>, "
-    "is_init boolean, is_main boolean, is_test boolean, is_conftest boolean, line_count int, content_hash string"
+    "is_init boolean, is_main boolean, is_test boolean, is_conftest boolean, line_count int, content_hash string, "
+    "classes array<string>, global_variables array<string>, docstring string"
 )
 TOKENS = "path string, kinds array<string>, texts array<string>, lines array<int>"
 

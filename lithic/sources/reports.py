@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__
+from ..operators.findings import rule_index
 
 TOOL = "lithic"
 #: Rules by category; all others are about clarity.
@@ -100,14 +101,31 @@ def compact_rows(findings: DataFrame) -> DataFrame:
     return findings.select(F.format_string("%s:%d: %s %s: %s", "file", "line", icon, "rule", "message").alias("value"))
 
 
+def sarif_rows(findings: DataFrame) -> DataFrame:
+    """(rule_id, rule_index, level, text, uri, start_line, summary) of each finding's result."""
+    rows = findings.join(rule_index(findings), "rule")
+    return rows.select(
+        F.col("rule").alias("rule_id"), "rule_index", _mapped(LEVELS, F.col("severity"), "note").alias("level"), F.col("message").alias("text"), F.col("file").alias("uri"),
+        F.greatest(F.coalesce("line", F.lit(0)), F.lit(1)).alias("start_line"), _mapped(SUMMARIES, F.col("rule"), "").alias("summary"),
+    )
+
+
+def markdown_rows(findings: DataFrame) -> DataFrame:
+    """(value): one row of the table of findings each."""
+    cells = [F.upper("severity"), F.format_string("`%s`", "rule"), F.format_string("`%s`", "file"), F.col("line").cast("string"), F.col("message")]
+    return findings.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
 def write_rows(findings: DataFrame, fmt: str, path: str) -> None:
-    """Write findings at scale: json, codeclimate, github or compact, one row a line."""
+    """Write findings at scale: json, codeclimate, sarif, github, markdown or compact, one row a line."""
     if fmt == "json":
         findings.write.json(path)
     elif fmt == "codeclimate":
         climate_rows(findings).write.json(path)
-    elif fmt in ("github", "compact"):
-        (annotation_rows if fmt == "github" else compact_rows)(findings).write.text(path)
+    elif fmt == "sarif":
+        sarif_rows(findings).write.json(path)
+    elif fmt in (lines := {"github": annotation_rows, "compact": compact_rows, "markdown": markdown_rows}):
+        lines[fmt](findings).write.text(path)
     else:
         raise ValueError(f"Unknown format: {fmt}")
 
