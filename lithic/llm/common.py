@@ -21,16 +21,18 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a folder made here.
+    Only where a local session names none (tests) is a folder made here.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lithic-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs re-reading a file, not
@@ -42,7 +44,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -187,7 +187,7 @@ def numbered_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     Lines that share ``line`` but not ``check`` aren't equal; their ids are made
     anew, with another seed, until no two such lines are left.
     """
-    lines = materialise(line_table(keyed), "lines")
+    lines = materialise(line_table(keyed), "lines", "zstd")
     seed = 0
     while True:
         each = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), (F.min("check") != F.max("check")).alias("unlike"))
@@ -198,7 +198,7 @@ def numbered_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         seed += 1
         twice = each.where("unlike").select("line", F.lit(True).alias("again"))
         lines = lines.join(twice, "line", "left").withColumn("line", F.when(F.col("again"), F.xxhash64(F.lit(seed), "check", "words")).otherwise(F.col("line"))).drop("again")
-        lines = materialise(lines, "lines")
+        lines = materialise(lines, "lines", "zstd")
 
 
 def _sender(bits: int, rows: int, bands: int):
