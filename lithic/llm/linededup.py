@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, codepoints, collapse_repeats, connected_components, discard, documents, materialise, mix64, only, shielded
+from .common import batches_of, codepoints, collapse_repeats, connected_components, discard, documents, materialise, mix64, only, shielded, with_text_hash
 
 SHINGLE = 7
 #: A changed word of a line spoils its own shingles and six more, a quarter of 50.
@@ -81,16 +81,18 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x = (arr + np.uint32(0x9E3779B9)) * np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(15)
     for k in range(SHINGLE):
-        h[: n - k] = h[: n - k] * np.uint32(0x01000193) + x[k:]
-        h[n - k :] = h[n - k :] * np.uint32(0x01000193)
-    h ^= h >> np.uint32(16)
-    h *= np.uint32(0x7FEB352D)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x846CA68B)
-    h ^= h >> np.uint32(16)
+        h *= np.uint32(0x01000193)
+        h[: n - k] += x[k:]
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        np.right_shift(h, np.uint32(shift), out=x)
+        h ^= x
+        h *= np.uint32(factor)
+    np.right_shift(h, np.uint32(16), out=x)
+    h ^= x
     count = np.maximum(size - SHINGLE + 1, 1)
     owner = np.repeat(np.arange(len(lines)), count)
-    at = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(count) - count), count)
+    at = np.repeat(starts - (np.cumsum(count) - count), count)
+    at += np.arange(len(owner))
     out = h[at]
     for k in np.flatnonzero(size < SHINGLE):
         out[np.searchsorted(owner, k)] = hash_short(lines[k])
@@ -117,9 +119,16 @@ def _least_hashes(h: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.nda
                 break
             owner, h, times = owner[some], h[some], times
         own = h ^ np.uint32(k * 0x9E3779B9 & 0xFFFFFFFF)
-        own = (own ^ (own >> np.uint32(16))) * np.uint32(0x45D9F3B)
-        own = np.minimum(own ^ (own >> np.uint32(15)), _NONE - np.uint32(1))
-        cell = owner * bins + (own.astype(np.uint64) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        part = own >> np.uint32(16)
+        own ^= part
+        own *= np.uint32(0x45D9F3B)
+        np.right_shift(own, np.uint32(15), out=part)
+        own ^= part
+        np.minimum(own, _NONE - np.uint32(1), out=own)
+        cell = own.astype(np.int64)
+        cell *= bins
+        cell >>= 32
+        cell += owner * bins
         np.minimum.at(out, cell, own)
     return out.reshape(n, bins)
 
@@ -132,11 +141,15 @@ def signatures(lines: list[str], rows: int, bands: int) -> tuple[np.ndarray, np.
         h, owner = shingles(lines[lo:hi])
         value = _least_hashes(h, owner, hi - lo, bins)
         # the next filled bin, going round, and how far it is
-        filled = value != _NONE
-        place = np.where(np.concatenate([filled, filled], axis=1), np.arange(2 * bins, dtype=np.int32), np.int32(4 * bins))
-        nxt = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        away = (nxt - np.arange(bins, dtype=np.int32)).astype(np.uint64)
-        sig = np.take_along_axis(value, nxt % bins, axis=1).astype(np.uint64) + (away << np.uint64(33))
+        filled = (value != _NONE).ravel()
+        full, empty = np.flatnonzero(filled), np.flatnonzero(~filled)
+        line, upto = empty // bins, np.cumsum(filled, dtype=np.int32)
+        nxt = full[np.minimum(upto[empty], len(full) - 1)]
+        first = np.argmax(filled.reshape(-1, bins), axis=1) + np.arange(hi - lo) * bins
+        nxt = np.where((nxt > empty) & (nxt // bins == line), nxt, first[line])
+        away = (nxt - empty) % bins
+        sig = value.astype(np.uint64)
+        sig.ravel()[empty] = value.ravel()[nxt] + (away.astype(np.uint64) << np.uint64(33))
         acc = np.zeros((hi - lo, bands), np.uint64)
         for r in range(rows):
             acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : bands * rows : rows] + np.uint64(r + 1))
@@ -160,12 +173,18 @@ def jaccard(a: list[str], b: list[str]) -> np.ndarray:
     for lo, hi in batches_of((len(x) + len(y) + 2 for x, y in zip(a, b, strict=True)), CHUNK):
         both = [s for pair in zip(a[lo:hi], b[lo:hi], strict=True) for s in pair]
         h, owner = shingles(both)
-        # pair, hash and side in one key; sorted, a shared shingle is two neighbours
-        key = np.sort(((owner >> 1).astype(np.uint64) << np.uint64(33)) | (h.astype(np.uint64) << np.uint64(1)) | (owner & 1).astype(np.uint64))
-        key = key[np.diff(key, prepend=~key[:1]) != 0]
-        pair = (key >> np.uint64(33)).astype(np.int64)
-        shared = np.bincount(pair[1:][(key[1:] >> np.uint64(1)) == (key[:-1] >> np.uint64(1))], minlength=hi - lo)
-        out[lo:hi] = shared / (np.bincount(pair, minlength=hi - lo) - shared)
+        # pair, hash and side in one key; sorted, a shared shingle is two neighbours that differ in the side alone
+        count = np.bincount(owner, minlength=len(both))
+        side = np.arange(len(both), dtype=np.uint64)
+        key = h.astype(np.uint64)
+        key <<= np.uint64(1)
+        key |= np.repeat((side >> np.uint64(1) << np.uint64(33)) | (side & np.uint64(1)), count)
+        key.sort()
+        step = key[1:] ^ key[:-1]
+        at = np.flatnonzero(step <= 1)
+        pair, again = (key[at] >> np.uint64(33)).astype(np.int64), step[at] == 0
+        shared = np.bincount(pair[~again], minlength=hi - lo)
+        out[lo:hi] = shared / (count[::2] + count[1::2] - np.bincount(pair, minlength=hi - lo))
     return out
 
 
@@ -176,7 +195,7 @@ def line_table(keyed: DataFrame) -> DataFrame:
     ``words`` is the line in lower case, ``line`` and ``check`` are hashes of it with 64
     and 32 bits, ``rid`` numbers the rows once the table is written.
     """
-    rows = keyed.select("doc_id", "__h", F.posexplode(F.expr(r"split(text, '\n', -1)")).alias("line_no", "raw")).where(f"btrim(raw, {_BLANKS}) <> ''")
+    rows = keyed.select("doc_id", "__h", F.posexplode(F.expr(r"split(text, '\n', -1)")).alias("line_no", "raw")).where(f"ltrim({_BLANKS}, raw) <> ''")
     rows = rows.select("doc_id", "__h", "line_no", F.lower("raw").alias("words"))
     return rows.select("*", F.xxhash64("words").alias("line"), F.hash("words").alias("check"), F.monotonically_increasing_id().alias("rid"))
 
@@ -325,26 +344,30 @@ def similar_lines(lines: DataFrame, each: DataFrame, total: int) -> DataFrame:
     sent = lines.select("line", "words").mapInArrow(_sender(bits, rows, bands), "grp long, blob binary")
     found = materialise(sent.groupBy("grp").applyInArrow(_receive, "a long, b long, grp long, bucket long, sketch long, near boolean"), "lines-pairs")
     pairs = materialise(found.where("near").select("a", "b").distinct(), "lines-distinct")
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    stars = found.where("bucket is not null")
+    # the other lines of larger buckets too: who fails is tried against them, and the lines are read once
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(stars.select("b")).distinct()
     texts = _texts_of(wanted, lines, each)
     checked = _verified(pairs, texts)
-    discard(texts)
     edges = checked.where("same").select("a", "b")
     # larger buckets: who failed against the least line by its text is tried against all others
-    stars = found.where("bucket is not null")
     failed = stars.where("near").join(checked.where("not same"), ["a", "b"]).select("grp", "bucket", F.col("b").alias("p"), F.col("sketch").alias("s"))
+    failed = materialise(failed, "lines-failed")
     if not failed.isEmpty():
         more = failed.join(stars.select("grp", "bucket", "b", "sketch"), ["grp", "bucket"]).where("p <> b").withColumn("x", F.expr("s ^ sketch"))
         more = more.where(f"{MARKS} - {_AGREE_SQL} >= {AGREE}").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b")).distinct()
-        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "lines-more")
-        wanted = more.select(F.col("a").alias("line")).union(more.select("b")).distinct()
-        texts = _texts_of(wanted, lines, each)
-        edges = edges.union(_verified(more, texts).where("same").select("a", "b"))
-        discard(texts, more)
-    discard(found, pairs)
+        edges = edges.union(_verified(more.join(pairs, ["a", "b"], "left_anti"), texts).where("same").select("a", "b"))
+    discard(found, pairs, texts, failed)
     return connected_components(edges, "lines-cc")
 
 
+def _each_once(docs: DataFrame) -> DataFrame:
+    """:func:`collapse_repeats`, which reads the texts only if there is a doc_id that repeats."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return with_text_hash(docs)
+    return collapse_repeats(docs)
+
+
 def line_groups(keyed: DataFrame) -> DataFrame:
     """(doc_id, __h, line_no, first): every line that isn't the first of its group.
 
@@ -377,7 +400,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     * Lines of any length are taken whole. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    keyed = collapse_repeats(only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string")))
+    keyed = _each_once(only(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string")))
     rows = line_groups(keyed)
     return rows.select("doc_id", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no"))
 
@@ -394,7 +417,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def _dedup(docs: DataFrame) -> DataFrame:
-    keyed = collapse_repeats(docs)
+    keyed = _each_once(docs)
     gone = line_groups(keyed.select("doc_id", "__h", "text")).groupBy("doc_id", "__h").agg(F.collect_set("line_no").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"), "__gone")
     rows = keyed.join(gone, F.expr("doc_id <=> __id and __h <=> __g"), "left")

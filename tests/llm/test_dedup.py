@@ -157,6 +157,40 @@ def test_one_word_changed_in_a_line(spark):
     assert len(got) >= 0.9 * 201
 
 
+def test_texts_are_read_once_for_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(60))
+    lines = [base[:k] + "#" + base[k:] for k in range(0, 200, 5)] + [base[: 60 + 2 * k] + base[::-1][: 200 - 2 * k] for k in range(40)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    calls = {"_texts_of": 0, "_verified": 0}
+
+    def counting(name, real):
+        def call(*args):
+            calls[name] += 1
+            return real(*args)
+
+        return call
+
+    for name in calls:
+        monkeypatch.setattr(linededup, name, counting(name, getattr(linededup, name)))
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in linededup.duplicate_lines(docs).collect()}
+    # lines that fail against the least of their bucket are tried against the others, with the texts that were read before
+    assert calls == {"_texts_of": 1, "_verified": 2}
+    want = brute_lines(lines)
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+
+
+def test_texts_are_not_hashed_for_repeats_where_no_id_repeats(docs, texts, monkeypatch):
+    def fail(*_):
+        raise AssertionError("the texts are read for repeats")
+
+    monkeypatch.setattr(linededup, "collapse_repeats", fail)
+    assert linededup.duplicate_lines(docs).count() >= 0.97 * len(brute_lines(texts))
+    twice = docs.union(docs.limit(1))
+    with pytest.raises(AssertionError):
+        linededup.duplicate_lines(twice)
+
+
 def test_odd_lines(odd, empty):
     rows = linededup.duplicate_lines(odd)
     got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in rows.collect()}
