@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Collection, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.python_source import KEYWORDS, module_facts, source_tokens
+from ..functions.python_source import KEYWORDS, Memo, module_facts, path_facts, source_facts, source_tokens
 from ..schemas import MODULES, TOKENS
 
 
@@ -32,6 +36,8 @@ def _spread(corpus: DataFrame) -> DataFrame:
 
 #: Rows a worker turns into facts at a time.
 BATCH = 256
+#: About as many bytes of facts are handed on at a time.
+OUT_BYTES = 1 << 23
 
 
 def _sources(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
@@ -51,18 +57,61 @@ def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+@contextmanager
+def _without_collector() -> Iterator[None]:
+    """Trees have no cycles; looking for some takes as long as parsing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def modules(corpus: DataFrame, wanted: Collection[str] | None = None) -> DataFrame:
     """One row of ``MODULES`` for every file that parses; others are left out.
 
     The one pass over the sources: every table below is an explode of its result.
-    ``wanted`` names the columns that are made, by default all.
+    ``wanted`` names the columns that are made, by default all. A text that a task has
+    seen before isn't parsed again; only what follows from the path is made for each file.
     """
     kinds = StructType([f for f in StructType.fromDDL(MODULES).fields if wanted is None or f.name in wanted])
     schema = to_arrow_schema(kinds)
+    of_path = [f for f in schema if f.name in path_facts("")]
+    of_text = pa.schema([f for f in schema if f.name not in path_facts("")])
+
+    def rows(batch: pa.RecordBatch, texts: Memo, blocks: Memo) -> Iterator[pa.RecordBatch]:
+        coded = batch.column("content").dictionary_encode()
+        if len(coded.dictionary) > BATCH:
+            for k in range(0, len(batch), BATCH):
+                yield from rows(batch.slice(k, BATCH), texts, blocks)
+            return
+        made = []
+        for content in coded.dictionary.to_pylist():
+            if content not in texts:
+                with _without_collector():
+                    texts.keep(content, source_facts(content.decode("utf-8", "replace"), wanted, blocks))
+            made.append(texts[content])
+        codes = coded.indices.to_numpy()
+        parsed = np.array([m is not None for m in made], bool)[codes]
+        at = (np.cumsum([m is not None for m in made]) - 1)[codes[parsed]]
+        text = pa.RecordBatch.from_pylist([m for m in made if m is not None], of_text) if of_text else None
+        paths = batch.column("path").filter(pa.array(parsed)).to_pylist()
+        step = len(batch) if text is None else max(1, min(len(batch), OUT_BYTES * len(text) // max(1, text.nbytes)))
+        for k in range(0, len(paths), step):
+            own = [path_facts(p, wanted) for p in paths[k : k + step]]
+            columns = {f.name: pa.array([p[f.name] for p in own], f.type) for f in of_path}
+            if text is not None:
+                taken = text.take(pa.array(at[k : k + step]))
+                columns |= {f.name: taken.column(f.name) for f in of_text}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (f for b in batches for path, source in _sources(b) if (f := module_facts(path, source, wanted)))
-        return _batched(rows, schema)
+        texts, blocks = Memo(), Memo()
+        for batch in batches:
+            there = pc.and_(batch.column("path").is_valid(), batch.column("content").is_valid())
+            yield from rows(batch.filter(there), texts, blocks)
 
     return _spread(corpus).mapInArrow(parse, kinds)
 
@@ -96,7 +145,7 @@ def tokens(corpus: DataFrame) -> DataFrame:
 def source_lines(corpus: DataFrame) -> DataFrame:
     """(path, line, text): lines of the sources, numbered from 1."""
     text = F.decode("content", "UTF-8")
-    return corpus.select("path", F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+    return _spread(corpus).select("path", F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
 def normalised_values(rows: DataFrame, mode: str) -> DataFrame:
