@@ -1,7 +1,7 @@
 """Clone detection over token windows.
 
 Every window of ``min_tokens`` normalised tokens is hashed where its file's tokens are;
-what is shuffled is (hash, file, position). Windows that repeat are extended together
+what is shuffled is (hash, file, position), packed. Windows that repeat are extended together
 while the next tokens agree; of the overlapping groups this gives, the longest claim
 their lines first. Claiming is sequential, but only among files that share a window,
 so it runs once for each connected component of files.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,30 +27,166 @@ FRAGMENT = "struct<file:string,start_line:int,end_line:int,lines_of_code:int>"
 GROUPS = f"token_count int, line_count int, fragments array<{FRAGMENT}>"
 
 
-def windows(rows: DataFrame, length: int) -> DataFrame:
-    """(path, pos, hash, check): two hashes of every window of ``values``; pos from 0."""
-    starts = F.when(F.size("values") >= length, F.sequence(F.lit(1), F.size("values") - length + 1)).otherwise(F.array().cast("array<int>"))
+#: Input bytes of a bucket of windows, about; one bucket is held at a time.
+BUCKET_BYTES = 1 << 21
 
-    def both(i):
-        own = F.slice("values", i, F.lit(length))
-        return F.struct(F.xxhash64(own).alias("hash"), F.xxhash64(F.lit("lithic"), own).alias("check"))
 
-    return rows.select("path", F.posexplode(F.transform(starts, both)).alias("pos", "w")).select("path", "pos", "w.hash", "w.check")
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    x = x + np.uint64(seed)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
 
 
-def repeated_windows(wins: DataFrame, length: int, min_occurrences: int = 2) -> DataFrame:
-    """(hash, check, positions): windows that occur often enough without overlap.
+def _window_hashes(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every run of ``length`` ids."""
+    out = []
+    for seed, by in ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)):
+        own, n = _mixed(ids, seed), len(ids) - length + 1
+        total = np.zeros(n, np.uint64)
+        for k in range(length):
+            total = total * np.uint64(by) + own[k : k + n]
+        out.append(_mixed(total, seed))
+    return out[0], out[1]
+
+
+def _packed(length: int, buckets: int, all_places: bool):
+    """Windows of a batch as a table a bucket in few bytes: sorted, the first hash as steps from one to the next."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("ids").is_valid())
+            lists = batch.column("ids")
+            ids = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            counts = np.maximum(sizes - length + 1, 0)
+            if not counts.sum():
+                continue
+            row = np.repeat(np.arange(len(sizes)), counts)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            h, c = _window_hashes(ids, length)
+            at = np.repeat(np.cumsum(sizes) - sizes, counts) + pos
+            h, c = h[at], c[at]
+            order = np.argsort(h, kind="stable")
+            h, c, row, pos = h[order], c[order], row[order], pos[order].astype(np.int32)
+            n = None
+            if not all_places:  # a row for a window and document, at its first place
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (row[1:] != row[:-1])))
+                n = np.diff(np.append(first, len(h))).astype(np.int32)
+                h, c, row, pos = h[first], c[first], row[first], pos[first]
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h)).tolist()
+            path = batch.column("path")
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = h[lo:hi]
+                steps = np.append(own[:1], own[1:] - own[:-1]).view(np.uint8).reshape(-1, 8).T
+                docs, at = np.unique(row[lo:hi], return_inverse=True)
+                parts = [np.ascontiguousarray(steps), c[lo:hi], at.astype(np.int32), pos[lo:hi], *([] if n is None else [n[lo:hi]])]
+                blob = pa.compress(b"".join(p.tobytes() for p in parts), codec="zstd", asbytes=True)
+                value = {"bucket": [int(bucket[lo])], "n": [hi - lo], "blob": [blob]}
+                paths = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), path.take(pa.array(docs)))
+                yield pa.RecordBatch.from_arrays([pa.array(value["bucket"], pa.int32()), pa.array(value["n"], pa.int32()), pa.array(value["blob"], pa.binary()), paths], ["bucket", "n", "blob", "paths"])
+
+    return pack
+
+
+def _unpacked(table: pa.Table, all_places: bool) -> tuple[pa.Array, list[np.ndarray]]:
+    """Paths in order, and the columns h, c, path's number, pos, n, sorted by the first four."""
+    parts: list[list[np.ndarray]] = []
+    every = pa.concat_arrays([x.flatten() for x in table.column("paths").chunks])
+    known = every.unique().drop_null()
+    known = known.take(pc.sort_indices(known))
+    code = pc.fill_null(pc.index_in(every, known), len(known)).to_numpy(zero_copy_only=False)
+    known, base = pa.concat_arrays([known, pa.nulls(1, known.type)]), 0
+    for n, blob, paths in zip(table.column("n").to_pylist(), table.column("blob"), table.column("paths"), strict=True):
+        raw = np.frombuffer(pa.decompress(blob.as_buffer(), n * (24 if all_places else 28), "zstd"), np.uint8)
+        steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+        rest = raw[16 * n :].view(np.int32).reshape(-1, n)
+        own = code[base : base + len(paths)]
+        base += len(paths)
+        parts.append([np.cumsum(steps, dtype=np.uint64), raw[8 * n : 16 * n].view(np.uint64), own[rest[0]], rest[1], np.ones(n, np.int32) if all_places else rest[2]])
+    h, c, path, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((pos, path, c, h))
+    return known, [x[order] for x in (h, c, path, pos, n)]
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns])))
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    known, (h, c, path, pos, n) = _unpacked(table, False)
+    each = _starts(h, c, path)
+    first = _starts(h, c)
+    times = np.add.reduceat(n, first, dtype=np.int64)
+    documents = np.add.reduceat((path[each] < len(known) - 1).astype(np.int64), np.searchsorted(each, first))
+    first, times, documents = (x[times > 1] for x in (first, times, documents))
+    return pa.table({"path": known.take(pa.array(path[first])), "pos": pos[first], "occurrences": times, "documents": documents})
+
+
+def _apart(pos: np.ndarray, length: int) -> list[int]:
+    """Indices of the sorted ``pos`` that are kept if none may overlap the one kept before."""
+    at, out = 0, []
+    while at < len(pos):
+        out.append(at)
+        at = int(np.searchsorted(pos, pos[at] + length))
+    return out
+
+
+def _placed(length: int, least: int):
+    def place(table: pa.Table) -> pa.Table:
+        known, (h, c, path, pos, _) = _unpacked(table, True)
+        often = np.diff(np.append(first := _starts(h, c), len(h)))
+        on = np.repeat(often >= least, often)  # the rest can't get there
+        h, c, path, pos = h[on], c[on], path[on], pos[on]
+        if len(h):
+            each = _starts(h, c, path)
+            ends = np.append(each[1:], len(h))
+            keep = np.zeros(len(h), bool)
+            keep[each] = True
+            for lo, hi in zip(each[ends - each > 1].tolist(), ends[ends - each > 1].tolist(), strict=True):
+                keep[np.array(_apart(pos[lo:hi], length)) + lo] = True
+            h, c, path, pos = h[keep], c[keep], path[keep], pos[keep]
+            often = np.diff(np.append(first := _starts(h, c), len(h)))
+            on = np.repeat(often >= least, often)
+            first, often = first[often >= least], often[often >= least]
+        else:
+            on, first, often = np.zeros(0, bool), np.zeros(0, int), np.zeros(0, int)
+        places = pa.StructArray.from_arrays([known.take(pa.array(path[on])), pa.array(pos[on], pa.int32())], ["path", "pos"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(often)), pa.int32()), places)
+        return pa.table({"hash": h[first].view(np.int64), "check": c[first].view(np.int64), "positions": lists})
+
+    return place
+
+
+def _by_window(rows: DataFrame, length: int, all_places: bool, grouped, result: str) -> DataFrame:
+    """``grouped`` over the windows of ``rows`` (path, values), all of the same hashes at once.
+
+    A window is 16 bytes of hashes and its place. As rows these would be shuffled, sorted
+    and spilled at several times that, so a task's windows travel in a compressed blob for
+    each bucket of hashes.
+    """
+    ids = rows.select("path", F.transform("values", lambda v: F.xxhash64(v)).alias("ids"))
+    kind = rows.schema["path"].dataType.simpleString()
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = min(max(size // BUCKET_BYTES, 2 * rows.sparkSession.sparkContext.defaultParallelism), 1 << 13)
+    packed = ids.mapInArrow(_packed(length, buckets, all_places), f"bucket int, n int, blob binary, paths array<{kind}>")
+    return packed.groupBy("bucket").applyInArrow(grouped, result.format(path=kind))
+
+
+def window_counts(rows: DataFrame, length: int) -> DataFrame:
+    """(path, pos, occurrences, documents) of each window of ``rows`` that repeats; the place is its first."""
+    return _by_window(rows, length, False, _counted, "path {path}, pos int, occurrences long, documents long")
+
+
+def repeated_windows(rows: DataFrame, length: int, min_occurrences: int = 2) -> DataFrame:
+    """(hash, check, positions): windows of ``rows`` (path, values) that occur often enough without overlap.
 
     ``positions`` is sorted by file and place; of overlapping ones in a file the
     first is kept.
     """
-    # within a file first: what is sorted and kept there is small, and windows are combined only then
-    each = wins.groupBy("hash", "check", "path").agg(F.sort_array(F.collect_list("pos")).alias("all"))
-    kept = F.expr(f"aggregate(all, cast(array() as array<int>), (acc, x) -> if(size(acc) > 0 and x - element_at(acc, -1) < {int(length)}, acc, array_append(acc, x)))")
-    each = each.select("hash", "check", F.when(F.size("all") > 1, kept).otherwise(F.col("all")).alias("kept"), "path")
-    placed = F.transform("kept", lambda p: F.struct(F.col("path").alias("path"), p.alias("pos")))
-    often = each.groupBy("hash", "check").agg(F.sum(F.size("kept")).alias("n"), F.collect_list(placed).alias("all")).where(F.col("n") >= min_occurrences)
-    return often.select("hash", "check", F.sort_array(F.flatten("all")).alias("positions"))
+    return _by_window(rows, length, True, _placed(length, min_occurrences), "hash long, check long, positions array<struct<path:{path},pos:int>>")
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +232,7 @@ def _claimer(min_lines: int, min_occurrences: int):
 
 def clone_groups(rows: DataFrame, min_tokens: int = 50, min_lines: int = 5, min_occurrences: int = 2) -> DataFrame:
     """Rows of ``GROUPS`` for ``rows`` (path, values, lines), one for each clone."""
-    found = repeated_windows(windows(rows, min_tokens), min_tokens, min_occurrences)
+    found = repeated_windows(rows, min_tokens, min_occurrences)
     found = materialise(found.select(F.xxhash64("hash", "check").alias("grp"), "positions"), "clones")
     first = F.col("positions")[0]
     pairs = found.select("grp", first.alias("f"), F.explode(F.slice("positions", F.lit(2), F.size("positions"))).alias("o"))

@@ -60,17 +60,9 @@ h AS (SELECT doc_id, k - 1 AS pos, array_to_string(w[k:k + {WINDOW - 1}], ' ') A
 _WINDOW_COUNTS = "SELECT min(doc_id) AS path, arg_min(pos, (doc_id, pos))::INT AS pos, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM h GROUP BY win HAVING count(*) > 1"
 
 
-def _window_counts(rows: DataFrame) -> DataFrame:
-    """(path, pos, occurrences, documents) of each window that repeats; the place is its first."""
-    # per document first, so that a hot window leaves each task as one row a document
-    each = clones.windows(rows, WINDOW).groupBy("hash", "check", "path").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    out = each.groupBy("hash", "check").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"), F.min("path").alias("path"), F.min_by("pos", "path").alias("pos"))
-    return out.where("occurrences > 1").select("path", "pos", "occurrences", "documents")
-
-
 @query(_windows_sql("x") + _WINDOW_COUNTS)
 def clone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _window_counts(B.document_words(spark, sf_dir))
+    return clones.window_counts(B.document_words(spark, sf_dir), WINDOW)
 
 
 @query(_windows_sql("CASE WHEN regexp_full_match(x, '[0-9]+') THEN '$NUM' WHEN regexp_full_match(x, '[A-Za-z_]+') AND NOT list_contains(['" + "', '".join(sorted(KEYWORDS)) + "'], x) THEN '$ID' ELSE x END") + _WINDOW_COUNTS)
@@ -78,7 +70,7 @@ def clone_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows under the mild mode: words as names, digits as numbers."""
     kind = lambda w: F.when(w.rlike("^[0-9]+$"), "NUMBER").when(w.rlike("^[A-Za-z_]+$"), "NAME").otherwise("OP")
     rows = B.document_words(spark, sf_dir).select("path", F.col("values").alias("texts"), F.transform("values", kind).alias("kinds"))
-    return _window_counts(facts.normalised_values(rows, "mild"))
+    return clones.window_counts(facts.normalised_values(rows, "mild").select("path", "values"), WINDOW)
 
 
 @query(_windows_sql("x") + f""", l AS (SELECT win, doc_id, list([pos] ORDER BY pos) AS spots FROM h GROUP BY win, doc_id),
@@ -86,7 +78,7 @@ kept AS (SELECT win, doc_id, list_reduce(spots, lambda acc, x: CASE WHEN x[1] -
 SELECT min(doc_id) AS path, arg_min(spots[1], doc_id)::INT AS pos, sum(len(spots))::BIGINT AS occurrences FROM kept GROUP BY win HAVING sum(len(spots)) > 1""")
 def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that occur twice at least without overlap."""
-    found = clones.repeated_windows(clones.windows(B.document_words(spark, sf_dir), WINDOW), WINDOW)
+    found = clones.repeated_windows(B.document_words(spark, sf_dir), WINDOW)
     return found.select(F.col("positions")[0]["path"].alias("path"), F.col("positions")[0]["pos"].alias("pos"), F.size("positions").cast("long").alias("occurrences"))
 
 

@@ -62,3 +62,74 @@ def test_equal_texts_are_parsed_once(spark, tmp_path):
     got = {tuple(r) for r in out.select("path", "package", "line_count", "is_test").collect()}
     assert got == {(f"m/f{k}.py", f"m.f{k}", 20_000, False) for k in range(1000) if k % 100 != 7}
     assert time.time() - began < 60
+
+
+def moved(spark, run):
+    """What ``run`` returns, and the bytes that it shuffles."""
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = total()
+    return run(), total() - before
+
+
+def test_windows_are_shuffled_in_few_bytes(spark):
+    import random
+
+    from lithic.operators import clones
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(k, [f"w{rng.randrange(10**6)}" for _ in range(200)]) for k in range(2000)], "path long, values array<string>").repartition(2)
+    rows = rows.union(rows.where("path < 10").selectExpr("path + 5000", "values"))
+    rows.write.mode("overwrite").parquet(place := f"{spark.conf.get('spark.checkpoint.dir')}/scale-windows")
+    rows = spark.read.parquet(place)
+    for f in (clones.window_counts, clones.repeated_windows):
+        found, size = moved(spark, lambda f=f: f(rows, 8).count())
+        assert found == 10 * 193 and size < 25 * 2010 * 193
+
+
+ODD_WORDS = [(1, "a b a b a b a b a b".split()), (2, "a b a b c d e f".split()), (2, "x a b a b".split()), (3, []), (4, None), (5, ["a"]), (None, "q r s t".split()), (6, "q r s t".split()), (7, ["é", "", " ", "é"] * 3)]
+
+
+@pytest.mark.parametrize("buckets", [1 << 21, 1])
+def test_windows_against_brute_force(spark, monkeypatch, buckets):
+    from lithic.operators import clones
+
+    monkeypatch.setattr(clones, "BUCKET_BYTES", buckets)
+    rows = spark.createDataFrame(ODD_WORDS, "path long, values array<string>").repartition(3)
+    wins = {}
+    for path, words in ODD_WORDS:
+        for k in range(len(words or []) - 3):
+            wins.setdefault(tuple(words[k : k + 4]), []).append((path is None, path or 0, k))
+    counts, places = set(), set()
+    for found in wins.values():
+        found.sort()
+        if len(found) > 1:
+            counts.add((None if found[0][0] else found[0][1], found[0][2], len(found), len({p for none, p, _ in found if not none})))
+        kept = []
+        for none, p, k in found:
+            if not kept or kept[-1][:2] != (none, p) or k - kept[-1][2] >= 4:
+                kept.append((none, p, k))
+        if len(kept) > 1:
+            places.add(tuple((None if none else p, k) for none, p, k in kept))
+    assert {tuple(r) for r in clones.window_counts(rows, 4).collect()} == counts
+    assert {tuple((p.path, p.pos) for p in r.positions) for r in clones.repeated_windows(rows, 4).collect()} == places
+
+
+def test_claiming_is_linear_in_the_places():
+    """A block that 60,000 files share; each against all others would take hours."""
+    import time
+
+    import pyarrow as pa
+    from lithic.operators import clones
+
+    n = 60_000
+    places = [[{"path": f"f{k:06d}", "pos": shift, "start": 2 + shift, "end": 8} for k in range(n)] for shift in range(3)]
+    began = time.time()
+    out = clones._claimer(2, 2)(pa.table({"length": pa.array([40, 39, 38], pa.int32()), "places": places})).to_pylist()
+    assert len(out) == 1 and out[0]["token_count"] == 40 and out[0]["line_count"] == 7 and len(out[0]["fragments"]) == n
+    assert out[0]["fragments"][5] == {"file": "f000005", "start_line": 2, "end_line": 8, "lines_of_code": 7}
+    assert time.time() - began < 30
