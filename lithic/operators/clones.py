@@ -11,6 +11,7 @@ Windows don't cross files, and two independent 64-bit hashes must agree.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,46 +193,71 @@ def repeated_windows(rows: DataFrame, length: int, min_occurrences: int = 2) ->
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, more): tokens by which two windows agree beyond their length."""
     for batch in batches:
-        grp, more = [], []
-        for row in batch.to_pylist():
-            a, b = np.array(row["x"], np.int64), np.array(row["y"], np.int64)
-            by_shift: dict[int, list[tuple[int, int]]] = {}
-            for p in row["pairs"]:
-                by_shift.setdefault(p["q"] - p["p"], []).append((p["p"], p["grp"]))
-            for shift, own in by_shift.items():
+        (xs, x), (ys, y), (ps, pairs) = ((c.offsets.to_numpy() - c.offsets[0].as_py(), c.flatten()) for c in (batch.column(n) for n in ("x", "y", "pairs")))
+        x, y, grp, p, q = (v.to_numpy(zero_copy_only=False) for v in (x, y, *(pairs.field(n) for n in ("grp", "p", "q"))))
+        more = np.zeros(len(p), np.int32)
+        for k in range(len(batch)):
+            a, b, own = x[xs[k] : xs[k + 1]], y[ys[k] : ys[k + 1]], slice(ps[k], ps[k + 1])
+            first, shifts = p[own], q[own] - p[own]
+            for shift in set(shifts.tolist()):
                 lo, hi = max(0, -shift), min(len(a), len(b) - shift)
                 stops = np.append(np.flatnonzero(a[lo:hi] != b[lo + shift : hi + shift]) + lo, hi)
-                first = np.array([p for p, _ in own])
-                more += (stops[np.searchsorted(stops, first)] - first).tolist()
-                grp += [g for _, g in own]
-        yield pa.RecordBatch.from_pydict({"grp": grp, "more": more}, pa.schema([("grp", pa.int64()), ("more", pa.int32())]))
+                on = shifts == shift
+                more[own][on] = stops[np.searchsorted(stops, first[on])] - first[on]
+        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(more)], ["grp", "more"])
 
 
 def _claimer(min_lines: int, min_occurrences: int):
     def claim(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["length"], [(f["path"], f["pos"]) for f in r["places"]]))
-        taken: dict[str, list] = {}  # claimed line ranges of each file
-        out = []
-        for row in rows:
-            own: list[dict] = []
-            for f in row["places"]:
-                start, end = f["start"], f["end"]
-                mine = [(o["start_line"], o["end_line"]) for o in own if o["file"] == f["path"]]
-                free = all(end < s or start > e for s, e in taken.get(f["path"], []) + mine)
-                if end - start + 1 >= min_lines and free:
-                    own.append({"file": f["path"], "start_line": start, "end_line": end, "lines_of_code": end - start + 1})
+        places = pa.concat_arrays(table.column("places").chunks)
+        flat = places.flatten()
+        path, pos, start, end = (flat.flatten()[flat.type.get_field_index(n)] for n in ("path", "pos", "start", "end"))
+        path = path.dictionary_encode()
+        names = path.dictionary.to_pylist()
+        code, pos, start, end = (x.to_numpy(zero_copy_only=False) for x in (path.indices, pos, start, end))
+        stops = np.cumsum(pc.list_value_length(places).to_numpy(zero_copy_only=False))
+        begins = np.append(0, stops[:-1])
+        length = table.column("length").to_pylist()
+        # no two groups have the same first place
+        rows = sorted(range(len(length)), key=lambda k: (-length[k], names[code[begins[k]]], pos[begins[k]]))
+        taken: dict[int, tuple[list[int], list[int]]] = {}  # starts and ends of the claimed lines of each file, which don't overlap
+        out: list[tuple[int, list[int]]] = []
+        for k in rows:
+            own: list[int] = []
+            last, last_end = -1, 0
+            at = np.arange(begins[k], stops[k])
+            at = at[end[at] - start[at] + 1 >= min_lines]
+            for i, f, s, e in zip(at.tolist(), code[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
+                if f == last and s <= last_end:  # places are sorted, so only the one before can overlap
+                    continue
+                if f in taken:
+                    starts, ends = taken[f]
+                    if (before := bisect_right(starts, e)) and ends[before - 1] >= s:
+                        continue
+                own.append(i)
+                last, last_end = f, e
             if len(own) >= min_occurrences:
-                for o in own:
-                    taken.setdefault(o["file"], []).append((o["start_line"], o["end_line"]))
-                out.append({"token_count": row["length"], "line_count": max(o["lines_of_code"] for o in own), "fragments": own})
-        fragment = pa.struct([("file", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("lines_of_code", pa.int32())])
-        return pa.Table.from_pylist(out, pa.schema([("token_count", pa.int32()), ("line_count", pa.int32()), ("fragments", pa.list_(fragment))]))
+                for f, s, e in zip(code[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True):
+                    starts, ends = taken.setdefault(f, ([], []))
+                    before = bisect_right(starts, s)
+                    starts.insert(before, s)
+                    ends.insert(before, e)
+                out.append((k, own))
+        at = np.array([i for _, own in out for i in own], np.int64)
+        lines = (end - start + 1)[at].astype(np.int32)
+        ends_at = np.cumsum([0, *(len(own) for _, own in out)]).astype(np.int32)
+        kinds = [("file", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("lines_of_code", pa.int32())]
+        columns = [pa.array(path.dictionary).take(pa.array(code[at])), pa.array(start[at], pa.int32()), pa.array(end[at], pa.int32()), pa.array(lines, pa.int32())]
+        fragments = pa.ListArray.from_arrays(pa.array(ends_at), pa.StructArray.from_arrays(columns, fields=[pa.field(*x) for x in kinds]))
+        most = np.maximum.reduceat(lines, ends_at[:-1]) if out else lines
+        return pa.table({"token_count": pa.array([length[k] for k, _ in out], pa.int32()), "line_count": pa.array(most, pa.int32()), "fragments": fragments})
 
     return claim
 
 
 def clone_groups(rows: DataFrame, min_tokens: int = 50, min_lines: int = 5, min_occurrences: int = 2) -> DataFrame:
     """Rows of ``GROUPS`` for ``rows`` (path, values, lines), one for each clone."""
+    rows = materialise(rows.select("path", "values", "lines"), "clone-tokens")  # read four times below
     found = repeated_windows(rows, min_tokens, min_occurrences)
     found = materialise(found.select(F.xxhash64("hash", "check").alias("grp"), "positions"), "clones")
     first = F.col("positions")[0]
