@@ -133,3 +133,11 @@ def test_claiming_is_linear_in_the_places():
     assert len(out) == 1 and out[0]["token_count"] == 40 and out[0]["line_count"] == 7 and len(out[0]["fragments"]) == n
     assert out[0]["fragments"][5] == {"file": "f000005", "start_line": 2, "end_line": 8, "lines_of_code": 7}
     assert time.time() - began < 30
+
+
+def test_lines_of_a_corpus_in_one_piece_are_spread(spark):
+    from lithic.operators import facts
+
+    rows = spark.createDataFrame([(f"m/f{k}.py", b"import os\nx = 1\n") for k in range(64)], "path string, content binary").coalesce(1)
+    lines = facts.source_lines(rows)
+    assert lines.rdd.getNumPartitions() > 1 and lines.count() == 192
