@@ -138,6 +138,7 @@ def test_claiming_is_linear_in_the_places():
 def test_lines_of_a_corpus_in_one_piece_are_spread(spark):
     from lithic.operators import facts
 
-    rows = spark.createDataFrame([(f"m/f{k}.py", b"import os\nx = 1\n") for k in range(64)], "path string, content binary").coalesce(1)
-    lines = facts.source_lines(rows)
+    rows = spark.createDataFrame([(f"m/f{k}.py", b"import os\nx = 1\n") for k in range(64)], "path string, content binary")
+    rows.coalesce(1).write.mode("overwrite").parquet(place := f"{spark.conf.get('spark.checkpoint.dir')}/scale-lines")
+    lines = facts.source_lines(spark.read.parquet(place))
     assert lines.rdd.getNumPartitions() > 1 and lines.count() == 192
